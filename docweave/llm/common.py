@@ -148,3 +148,7 @@ ALNUM_BYTES = byte_table(lambda b: 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x6
 #: Byte hashes that do not tell A-Z from a-z.
 FOLDED = _BYTE.copy()
 FOLDED[0x41:0x5B] = _BYTE[0x61:0x7B]
+
+
+def seeded_order(seed: int, *columns: str) -> Column:
+    return F.xxhash64(F.lit(seed), *(F.col(c) for c in columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing
+from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, secret_scan
 from .common import materialize, table
 
 QUERIES: dict = {}
@@ -85,3 +85,42 @@ x AS (SELECT d.doc_id, d.size, u.s, u.target, u.whole, u.rest,
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(s AS BIGINT) AS source_size, target,
   CAST(whole * size + greatest(0, least(size, rest - b)) AS BIGINT) AS taken FROM x
 """
+
+
+@query
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLE["op9_decontaminate"] = f"""
+WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+v AS (SELECT item, w, least(8, len(w)) AS m FROM i WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item, m, array_to_string(w[a:a + m - 1], ' ') AS win FROM v, LATERAL (SELECT unnest(range(1, len(w) - m + 2)) AS a)),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+dw AS (SELECT r, l.m, a, array_to_string(w[a:a + l.m - 1], ' ') AS win FROM d, (SELECT DISTINCT m FROM bw) l,
+        LATERAL (SELECT unnest(range(1, len(w) - l.m + 2)) AS a)),
+h AS (SELECT DISTINCT r, a, dw.m, item FROM dw JOIN bw USING (win, m)),
+c AS (SELECT r, count(DISTINCT p) AS n_hit FROM h, LATERAL (SELECT unnest(range(a, a + m)) AS p) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
+"""
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs)
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.train(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
