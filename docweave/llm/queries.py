@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, license_scan, line_dedup, mixing, secret_scan
+from . import decontaminate, exact_dedup, fixity, language_id, license_scan, line_dedup, mixing, quality, secret_scan
 from .common import materialize, table
 
 QUERIES: dict = {}
@@ -130,3 +130,32 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return license_scan.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query
+def op2_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    classifier = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.quality(docs, classifier)
+
+
+@query
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return fixity.audit(pages, fixity.faulty_replica(pages))
+
+
+ORACLE["op3_warc_fixity"] = """
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, substring(sha256(coalesce(url, '')), 1, 2) AS mark FROM pages),
+r AS (SELECT *, CASE WHEN mark = '00' THEN html || '~' ELSE html END AS html2 FROM p),
+w AS (SELECT page_id, mark,
+  concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10), 'WARC-Target-URI: ', url, chr(13), chr(10),
+    'Content-Length: ', strlen(html), chr(13), chr(10), chr(13), chr(10), html, chr(13), chr(10), chr(13), chr(10)) AS rec,
+  concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10), 'WARC-Target-URI: ', url, chr(13), chr(10),
+    'Content-Length: ', strlen(html2), chr(13), chr(10), chr(13), chr(10), html2, chr(13), chr(10), chr(13), chr(10)) AS rec2 FROM r)
+SELECT page_id, page_id // 1024 AS volume, 1 AS n_records, strlen(rec) AS n_bytes,
+  CAST(coalesce(sum(strlen(rec)) OVER (PARTITION BY page_id // 1024 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+  sha256(rec) AS digest, CASE WHEN mark <> 'ff' THEN sha256(rec2) END AS replica_digest,
+  CASE WHEN mark = 'ff' THEN 'missing' WHEN mark = '00' THEN 'corrupt' ELSE 'ok' END AS status
+FROM w
+"""
