@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, fixity, language_id, license_scan, line_dedup, mixing, quality, secret_scan
+from . import decontaminate, exact_dedup, fixity, language_id, license_scan, line_dedup, minhash, mixing, quality, secret_scan
 from .common import materialize, table
 
 QUERIES: dict = {}
@@ -159,3 +159,8 @@ SELECT page_id, page_id // 1024 AS volume, 1 AS n_records, strlen(rec) AS n_byte
   CASE WHEN mark = 'ff' THEN 'missing' WHEN mark = '00' THEN 'corrupt' ELSE 'ok' END AS status
 FROM w
 """
+
+
+@query
+def op1_minhash_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4)
