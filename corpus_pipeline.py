@@ -1,11 +1,93 @@
-"""Corpus pipeline (being built)."""
+"""Corpus pipeline: language ID, line dedup, near-dedup, decontamination, mixing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of ``documents``;
+the last adds what the mix takes.  Extra columns of the input pass through all stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docweave.llm import decontaminate, language_id, line_dedup, minhash, mixing
+from docweave.llm.common import column_name, materialize, table
+
+#: A document stays if its language is known with at least this calibrated probability.
+MIN_LANGUAGE_SCORE = 0.5
+
+
+def _with_chars(df: DataFrame) -> DataFrame:
+    return df.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in df.columns else df
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents without a language (no letter, or no language likely enough) go."""
+    # The operator replaces columns that have the names of its own.
+    inner = docs.select("doc_id", "text", "lang")
+    model = language_id.train(inner)
+    names = {c: column_name(docs, f"_{c}") for c in ("lang_pred", "score")}
+    clash = {c: column_name(docs, f"_held_{c}") for c in names if c in docs.columns}
+    found = language_id.identify(docs.withColumnsRenamed(clash), model).withColumnsRenamed(names)
+    kept = found.filter((F.col(names["lang_pred"]) != language_id.UNKNOWN) & (F.col(names["score"]) >= MIN_LANGUAGE_SCORE))
+    return kept.withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
+
+
+def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: each source's boilerplate lines are cut; no document goes."""
+    return _with_chars(line_dedup.drop_boilerplate(docs).select(*docs.columns))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1 on five words and 0.8: of each group of near copies the smallest doc_id stays.
+
+    Rows that repeat a document (same id and text) are one.
+    """
+    found = materialize(minhash.near_duplicates(docs.select("doc_id", "text"), words=5))
+    # The few that go are the side whose size decides how the join is done.
+    gone = materialize(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
+    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    repeated = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    digest = column_name(docs, "_digest")
+    return kept.withColumn(digest, F.xxhash64("text")).dropDuplicates(["doc_id", digest]).select(*docs.columns)
+
+
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: contaminated documents go, from the rest the spans of benchmark windows are cut.
+
+    A document that such spans make up wholly goes too.
+    """
+    names = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    clash = {c: column_name(docs, f"_held_{c}") for c in names if c in docs.columns}
+    found = decontaminate.decontaminate(docs.withColumnsRenamed(clash), table(spark, sf_dir, "benchmark"), cut=True)
+    kept = found.filter(~F.col("contaminated") & ((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words"))))
+    return _with_chars(kept.drop(*names).withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: documents that the mix takes, with size, source_size, target and taken words."""
+    inner = docs.drop("size", "source_size", "target", "taken")
+    sized = inner.withColumn("size", mixing.word_count(F.col("text")))
+    return mixing.mix(sized, "size").filter("taken > 0")
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("line_dedup", site_lines),
+    ("near_dedup", near_copies),
+    ("decontamination", clean_of_benchmark),
+    ("mixing", mixed),
+]
+#: Language ID is a trained model, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is a table in the shared folder before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = materialize(docs)
     return docs
