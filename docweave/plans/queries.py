@@ -455,7 +455,7 @@ def _link_inputs(b: Bound) -> tuple[DataFrame, DataFrame]:
 
 LINKED = """words AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{10,}')) AS name, item_id FROM benchmark),
 sy AS (SELECT sha256(name) AS symbol_id, name, 'src/' || (min(item_id) % 7) || '.sql:1' AS location, CAST(min(item_id) % 7 AS VARCHAR) AS stem FROM words GROUP BY name),
-se AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, regexp_extract(text, '^([A-Za-z]+( [A-Za-z]+){{1,5}})', 1) AS anchor, text AS content, CAST(doc_id % 7 AS VARCHAR) AS stem FROM documents),
+se AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, regexp_extract(text, '^([A-Za-z]+( [A-Za-z]+){1,5})', 1) AS anchor, text AS content, CAST(doc_id % 7 AS VARCHAR) AS stem FROM documents),
 tok AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(content, '[A-Za-z0-9_]+'))) AS w FROM se),
 hw AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(anchor, '[A-Za-z0-9_]+'))) AS w FROM se)"""
 

@@ -11,6 +11,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -330,3 +331,43 @@ def bodytext_words(texts: DataFrame, key: str, text: str) -> DataFrame:
     dotted = F.col("word").rlike(r"^[a-zA-Z][a-zA-Z0-9_]*\.[a-zA-Z][a-zA-Z0-9_]*$")
     code = F.when(F.contains("word", F.lit(".")), dotted).otherwise(F.col("word").rlike("[A-Z_]") | (F.length("word") >= 4))
     return words.filter(~ordinary & code).groupBy(key, "word").agg(F.count("*").alias("n"))
+
+
+# ---- locating a section in a file -----------------------------------------------
+
+
+def locate_section(content: str, anchor: str) -> str | None:
+    """The section under the heading ``anchor`` (case counts), to the next heading of its level or above.
+
+    Headings in fences are none; ``''`` is the text before the first heading; None if there is none.
+    """
+    lines = content.split("\n")
+    heads = _markdown_headings(lines)
+    if not anchor:
+        text = "\n".join(lines[: heads[0][0]] if heads else lines)
+        return text if text.strip() else None
+    for k, (at, _, text, level) in enumerate(heads):
+        if text == anchor:
+            end = next((h[0] for h in heads[k + 1 :] if h[3] <= level), len(lines))
+            return "\n".join(lines[at:end])
+    return None
+
+
+def review_section(content: str, anchor: str) -> str | None:
+    """As a review finds it: case apart, to the next heading of any level, fences unseen."""
+    m = re.search(rf"^#{{1,6}}\s+{re.escape(anchor)}\s*$", content, re.I | re.M)
+    if not m or not anchor:
+        return None
+    end = re.compile(r"^#{1,6}\s", re.M).search(content, m.end())
+    return content[m.start() : end.start() if end else len(content)]
+
+
+def located(files: DataFrame, content: str, anchor: str, review: bool = False) -> DataFrame:
+    """``files`` with section: the located text of each row's anchor."""
+    find = review_section if review else locate_section
+
+    @F.pandas_udf("string")
+    def section(contents: pd.Series, anchors: pd.Series) -> pd.Series:
+        return pd.Series([find(c or "", a or "") for c, a in zip(contents, anchors, strict=True)], dtype=object)
+
+    return files.withColumn("section", section(F.col(content), F.col(anchor)))
