@@ -204,7 +204,7 @@ class Format:
         preamble = "\n".join(lines[:first])
         if preamble.strip():
             yield "", preamble, self.refs(preamble, 0)
-        for (at, taken, text, _), until in zip(heads, [h[0] for h in heads[1:]] + [len(lines)], strict=True):
+        for (at, taken, text, _), until in zip(heads, [*(h[0] for h in heads[1:]), len(lines)], strict=False):
             body = "\n".join(lines[at + taken : until])
             refs = self.refs(body, at + taken, heading_refs(text, at + 1))
             yield text, "\n".join([*lines[at : at + taken], body]), refs
@@ -273,7 +273,7 @@ class Html:
         first = heads[0].start() if heads else len(content)
         if content[:first].strip():
             yield "", content[:first], self.refs(content[:first], 1)
-        for m, until in zip(heads, [h.start() for h in heads[1:]] + [len(content)], strict=True):
+        for m, until in zip(heads, [*(h.start() for h in heads[1:]), len(content)], strict=False):
             part, line = content[m.start() : until], content.count("\n", 0, m.start()) + 1
             text = _TAG.sub("", m[2]).strip()
             unique = {(r.name, r.kind, r.line): r for r in [*heading_refs(text, line)[::-1], *self.refs(part, line)[::-1]]}
