@@ -20,21 +20,28 @@ def _with_chars(df: DataFrame) -> DataFrame:
     return df.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in df.columns else df
 
 
+def _holding(docs: DataFrame, operator, *names: str) -> DataFrame:
+    """``operator(docs)`` although ``docs`` has extra columns with names that the operator adds.
+
+    They are renamed before and are back under their names after; what the operator adds under
+    ``names`` stands as ``_added_`` + name.
+    """
+    held = {c: column_name(docs, f"_held_{c}") for c in docs.columns if c in names}
+    out = operator(docs.withColumnsRenamed(held)).withColumnsRenamed({n: f"_added_{n}" for n in names})
+    return out.withColumnsRenamed({v: k for k, v in held.items()})
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents without a language (no letter, or no language likely enough) go."""
-    # The operator replaces columns that have the names of its own.
-    inner = docs.select("doc_id", "text", "lang")
-    model = language_id.train(inner)
-    names = {c: column_name(docs, f"_{c}") for c in ("lang_pred", "score")}
-    clash = {c: column_name(docs, f"_held_{c}") for c in names if c in docs.columns}
-    found = language_id.identify(docs.withColumnsRenamed(clash), model).withColumnsRenamed(names)
-    kept = found.filter((F.col(names["lang_pred"]) != language_id.UNKNOWN) & (F.col(names["score"]) >= MIN_LANGUAGE_SCORE))
-    return kept.withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
+    model = language_id.train(docs.select("doc_id", "text", "lang"))
+    found = _holding(docs, lambda d: language_id.identify(d, model), "lang_pred", "score")
+    kept = found.filter((F.col("_added_lang_pred") != language_id.UNKNOWN) & (F.col("_added_score") >= MIN_LANGUAGE_SCORE))
+    return kept.select(*docs.columns)
 
 
 def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: each source's boilerplate lines are cut; no document goes."""
-    return _with_chars(line_dedup.drop_boilerplate(docs).select(*docs.columns))
+    return _with_chars(_holding(docs, line_dedup.drop_boilerplate, "n_lines", "n_dropped").select(*docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,11 +65,10 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     A document that such spans make up wholly goes too.
     """
-    names = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    clash = {c: column_name(docs, f"_held_{c}") for c in names if c in docs.columns}
-    found = decontaminate.decontaminate(docs.withColumnsRenamed(clash), table(spark, sf_dir, "benchmark"), cut=True)
-    kept = found.filter(~F.col("contaminated") & ((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words"))))
-    return _with_chars(kept.drop(*names).withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns))
+    benchmark = table(spark, sf_dir, "benchmark")
+    found = _holding(docs, lambda d: decontaminate.decontaminate(d, benchmark, cut=True), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    left = (F.col("_added_n_hit") == 0) | (F.col("_added_n_hit") < F.col("_added_n_words"))
+    return _with_chars(found.filter(~F.col("_added_contaminated") & left).select(*docs.columns))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
