@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_name, contains_ignore_case, file_stem, fuzzy_match, is_code_like, normalize
@@ -165,13 +165,15 @@ def ingest_links(symbols: DataFrame, sections: DataFrame, refs: DataFrame) -> Da
 
     A name of several symbols links only if the source file stem of exactly one equals the doc's.
     """
+    # Names are counted before they meet the references: a frequent name is one row, not one a symbol.
+    stem = file_stem(F.col("location"))
+    named = symbols.groupBy(F.col("name").alias("form")).agg(F.count("*").alias("n"), F.min("symbol_id").alias("only"))
+    placed = symbols.withColumn("d", stem).filter(F.length("d") > 0).groupBy(F.col("name").alias("form"), "d").agg(F.count("*").alias("k"), F.min("symbol_id").alias("same"))
     uses = refs.select("doc_id", "ref").distinct().join(sections.select("doc_id", file_stem(F.col("file")).alias("d")), "doc_id")
     forms = uses.withColumn("form", F.explode(F.array_distinct(F.array("ref", clean_name(F.col("ref"))))))
-    named = symbols.select("symbol_id", F.col("name").alias("form"), file_stem(F.col("location")).alias("s"))
-    hits = forms.join(named, "form").select("doc_id", "ref", "symbol_id", ((F.col("s") == F.col("d")) & (F.length("s") > 0)).alias("same")).distinct()
-    by = Window.partitionBy("doc_id", "ref")
-    counted = hits.withColumns({"n": F.count("*").over(by), "n_same": F.count_if("same").over(by)})
-    return counted.filter("n = 1 OR (same AND n_same = 1)").select("doc_id", "ref", "symbol_id")
+    hits = forms.join(named, "form").join(placed, ["form", "d"], "left")
+    found = hits.groupBy("doc_id", "ref").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.min("only").alias("only"), F.min("same").alias("same"))
+    return found.filter("n = 1 OR k = 1").select("doc_id", "ref", F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("same")).alias("symbol_id"))
 
 
 def ingest_counts(links: DataFrame, existing: DataFrame) -> DataFrame:
