@@ -153,8 +153,10 @@ def exact_dedup(docs: DataFrame, digest: str) -> DataFrame:
     Of equal texts the row with the largest doc_id stays.  Rows that repeat a doc_id with the same
     text count each in group_size and, being one document, are kept or dropped alike.  A null doc_id
     never outranks another and is kept only where its whole group is null.  Null text equals empty
-    text.  An empty table gives no rows.
+    text.  Columns of ``docs`` that have one of the added names are replaced.  An empty table gives
+    no rows.
     """
+    docs = docs.drop("keep_id", "group_size", "kept")
     groups = digest_index(docs.select(F.unhex(digest).alias("digest"), F.col("doc_id").cast("long").alias("owner"), F.lit(1).cast("long").alias("copies")))
     key, owner, size = (column_name(docs, c) for c in ("_digest", "_owner", "_copies"))
     # A lone text needs no partner: only groups travel to the join, where a hot key can be split.
