@@ -20,7 +20,7 @@ from .common import FOLDED, SPACED_BYTES, _mixer, column_name, materialize, mix6
 #: 0.8 shares no band with probability (1 - 0.8 ** 6) ** 42, below 3 in a million.
 BANDS, PERMUTATIONS = 42, 3
 #: Members of a bucket that are compared in one task; larger buckets are compared block by block.
-BLOCK = 1024
+BLOCK = 512
 #: Largest fixed-size filter of ids that is broadcast, in bits (16 MB).
 FILTER_BITS = 1 << 27
 
@@ -99,15 +99,15 @@ def _signer(words: int):
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(v, dtype=np.uint64)]) for v in (value, mix64(value ^ _PLACE[50]))]
                 digests = [mix64(c[bounds[1:]] - c[bounds[:-1]] + size.astype(np.uint64)).view(np.int64) for c in sums]
                 bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))]), pa.int32()), pa.array(keys[size > 0].ravel()))
-                low = (value >> np.uint64(48)).astype(np.uint16)
-                packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((bounds * 2).astype(np.int32)), pa.py_buffer(low.tobytes())])
+                low = (value >> np.uint64(32)).astype(np.uint32)
+                packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(low.tobytes())])
                 yield pa.RecordBatch.from_arrays([ids.slice(base, n), pa.array(size.astype(np.int64)), *map(pa.array, digests), bands, packed], names=["doc_id", "n", "d1", "d2", "bands", "low"])
 
     return sign
 
 
 def sign_documents(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
-    """(doc_id, n, d1, d2, bands, low): set size, set digest, band keys, 16 bits of each shingle."""
+    """(doc_id, n, d1, d2, bands, low): set size, set digest, band keys, 32 bits of each shingle."""
     return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(_signer(words), _SIGNED)
 
 
@@ -149,17 +149,19 @@ class _Union:
         return x
 
 
-def _group_links(reps: list[int], own: list[int], sets: list[np.ndarray], across: bool, percent: int, mark: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of a group that may be linked, as far as no other such pairs connect them already.
+def _group_links(reps: list[int], own: list[int], sets: list[np.ndarray], across: bool, percent: int) -> list[tuple[int, int]]:
+    """Pairs of a group that are linked, as far as no other such pairs connect them already.
 
-    Counts of equal 16-bit values are at least the size of the intersection, so no link is missed.
-    A pair that passes by less than the values' chance agreement is given, but does not count as
-    connected until it is confirmed.
+    At most one pair fewer than members: all that components need.  Counts of equal 32-bit values
+    are at least the size of the intersection, so no link is missed; that they exceed it takes a
+    chance hit of two shingles, and full sets confirm each pair later.
     """
     size = np.array([len(s) for s in sets])
     order = np.argsort(size, kind="stable")
     size = size[order]
-    flat = np.concatenate([sets[k] for k in order])
+    # Numbers of the group's own shingles, so that a small table tells membership.
+    distinct, flat = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
+    mark = np.zeros(len(distinct), np.uint8)
     bounds = np.concatenate([[0], np.cumsum(size)])
     union, found = _Union(len(order)), []
     owner = np.array(own)[order]
@@ -184,15 +186,15 @@ def _group_links(reps: list[int], own: list[int], sets: list[np.ndarray], across
         common = np.minimum(np.add.reduceat(mark[values], at, dtype=np.int64), size[a])
         mark[mine] = 0
         both = size[a] + size[rest]
+        joined = False
         for k in np.flatnonzero(100 * common >= percent * (both - common)):
             b = int(rest[k])
-            found.append((reps[order[a]], reps[order[b]]))
-            chance = float((size[a] - common[k]) * (size[b] - common[k])) / 65536
-            sure = common[k] - (4 + chance + 4 * chance**0.5)
-            if 100 * sure >= percent * (both[k] - sure):
-                x, y = union.find(a), union.find(b)
+            x, y = union.find(a), union.find(b)
+            if x != y:
                 union.up[max(x, y)] = min(x, y)
-        if found:
+                found.append((reps[order[a]], reps[order[b]]))
+                joined = True
+        if joined:
             root = np.array([union.find(k) for k in range(len(order))])
     return found
 
@@ -201,12 +203,11 @@ def _linker(percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = np.zeros(65536, np.uint8)
         key, reps, own, sets, out = None, [], [], [], []
 
         def close():
             if len(reps) > 1:
-                out.extend(p for p in _group_links(reps, own, sets, key[1] != key[2], percent, mark) if p[0] != p[1])
+                out.extend(p for p in _group_links(reps, own, sets, key[1] != key[2], percent) if p[0] != p[1])
 
         for batch in batches:
             for bucket, i, j, rep, mine, low in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "rep", "own", "low")), strict=True):
@@ -215,7 +216,7 @@ def _linker(percent: int):
                     key, reps, own, sets = (bucket, i, j), [], [], []
                 reps.append(rep)
                 own.append(mine)
-                sets.append(np.frombuffer(low, np.uint16))
+                sets.append(np.frombuffer(low, np.uint32))
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
                 out = []
