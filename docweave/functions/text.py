@@ -143,3 +143,28 @@ def strip_html(text: Column) -> Column:
 def normalize_doc_lines(text: Column) -> Column:
     """Line ends of one character; no white space at line ends."""
     return F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"[ \t\r\f\x0B]+(?=\n|$)", "")
+
+
+def is_newer(current: Column, latest: Column) -> Column:
+    """Whether version ``latest`` is above ``current``: three numbers, suffixes after ``-`` left out.
+
+    A part that is no number proves nothing.
+    """
+
+    def parts(version: Column) -> Column:
+        numbers = F.transform(F.split(F.split_part(version, F.lit("-"), F.lit(1)), r"\."), lambda p: p.try_cast("int"))
+        padded = F.concat(numbers, F.array(F.lit(0), F.lit(0), F.lit(0)))
+        return F.slice(padded, 1, 3)
+
+    a, b = parts(current), parts(latest)
+    known = ~F.exists(a, lambda p: p.isNull()) & ~F.exists(b, lambda p: p.isNull())
+    return F.when(known, b > a).otherwise(False)
+
+
+def json_depth(text: Column) -> Column:
+    """Deepest nesting of brackets outside strings."""
+    marks = F.regexp_replace(F.regexp_replace(text, r'"(?:\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
+    step = lambda acc, c: F.struct(
+        (acc["d"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("d"), F.greatest(acc["m"], acc["d"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("m")
+    )
+    return F.aggregate(F.filter(F.split(marks, ""), lambda c: c != ""), F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")), step, lambda acc: acc["m"])

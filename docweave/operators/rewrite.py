@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.signatures import strip_code
 from ..functions.text import occurrence_count, strip_tail
 
 
@@ -46,3 +51,46 @@ def stale_or_synced(sections: DataFrame, replaced: Column, new_hash: Column, mod
     changed = replaced | (new_hash != F.col("content_hash"))
     status = F.when(changed, "in_sync").when((F.col("status") == "stale") & (modified > F.col("updated_at")), "in_sync").otherwise(F.col("status"))
     return sections.withColumns({"status": status, "content_hash": F.when(changed, new_hash).otherwise(F.col("content_hash"))})
+
+
+def update_inline(files: DataFrame, content: str, old: str, new: str, language: str) -> DataFrame:
+    """Replaces a docstring (column ``old``) where its text stands exactly once in a file.
+
+    Adds outcome: updated, unchanged, not found, ambiguous, or broken if code outside of comments
+    would change; only ``updated`` rows have a new text.
+    """
+
+    def one(text: str, before: str, after: str, lang: str) -> tuple[str, str]:
+        if before == after:
+            return text, "unchanged"
+        n = text.count(before) if before else 0
+        if n != 1:
+            return text, "ambiguous" if n else "not found"
+        written = text.replace(before, after)
+        code = [re.sub(r"\s+", " ", strip_code(t, lang)) for t in (text, written)]
+        return (written, "updated") if code[0] == code[1] else (text, "broken")
+
+    @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("outcome", T.StringType())]))
+    def update(text: pd.Series, before: pd.Series, after: pd.Series, lang: pd.Series) -> pd.DataFrame:
+        rows = [one(t or "", b or "", a or "", x or "typescript") for t, b, a, x in zip(text, before, after, lang, strict=True)]
+        return pd.DataFrame(rows, columns=["text", "outcome"])
+
+    found = files.withColumn("_u", update(content, old, new, language))
+    return found.withColumns({content: F.col("_u.text"), "outcome": F.col("_u.outcome")}).drop("_u")
+
+
+# Scripts that may generate a kind of file, in order of preference.
+SPEC_SCRIPTS = ("generate:api", "generate:openapi")
+DOC_SCRIPTS = ("docs:generate", "generate:docs", "build:docs", "docs:build")
+
+
+def generator(file: Column, scripts: Column, head: Column) -> Column:
+    """The script that a generated file comes from, or null: it is chosen here and never run.
+
+    ``scripts`` is an array of script names, ``head`` the start of the file.  Interface specifications
+    are told by name or by their first lines; any other file may come from a documentation script.
+    """
+    first = lambda names: F.try_element_at(F.filter(F.array(*map(F.lit, names)), lambda n: F.array_contains(scripts, n)), F.lit(1))
+    named = file.rlike(r"(?i)openapi|swagger|/api[-/]?(docs|spec|schema)")
+    spec = file.rlike(r"(?i)\.ya?ml$") & (named | head.rlike(r"(?mi)^(openapi|swagger):\s*[\"']?\d"))
+    return F.when(spec, first(SPEC_SCRIPTS)).otherwise(first(DOC_SCRIPTS))

@@ -123,3 +123,18 @@ def last_definition(lines: DataFrame, name: str, text: str = "text", pos: str =
     """The last line (by ``pos``) that defines ``name``."""
     pattern = rf"(?<![A-Za-z0-9_])(function|class|def|fn|func|const|interface|type|struct|trait)\s+{re.escape(name)}(?![A-Za-z0-9_])"
     return lines.filter(F.col(text).rlike(pattern)).agg(F.max_by(text, pos).alias(text))
+
+
+def impact_rows(lines: DataFrame, text: str = "text") -> DataFrame:
+    """(name, kind, file, relation) of an index's impact lines; without a relation, ``depends_on``."""
+    pattern = r"(\w+)\s*\((\w+)\)\s*(?:\[(\w+)\]\s*)?(?:in\s+)?(\S+):(\d+)"
+    part = lambda i: F.regexp_extract(text, pattern, i)
+    relation = F.when(part(3) == "", "depends_on").otherwise(part(3))
+    return lines.filter(F.col(text).rlike(pattern)).select(part(1).alias("name"), part(2).alias("kind"), part(4).alias("file"), relation.alias("relation"))
+
+
+def search_rows(lines: DataFrame, text: str = "text") -> DataFrame:
+    """(name, kind, file, line) of an index's search lines."""
+    pattern = r"(\w+)\s*\((\w+)\)\s*in\s+(\S+):(\d+)"
+    part = lambda i: F.regexp_extract(text, pattern, i)
+    return lines.filter(F.col(text).rlike(pattern)).select(part(1).alias("name"), part(2).alias("kind"), part(3).alias("file"), part(4).cast("int").alias("line"))
