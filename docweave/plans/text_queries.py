@@ -33,7 +33,7 @@ def _sections(files: DataFrame) -> DataFrame:
 
 def _refs(files: DataFrame, *kinds: str) -> DataFrame:
     refs = parsers.references(parsers.parse_documents(files))
-    return refs.filter(F.col("ref_type").isin(*kinds)).select("file", "anchor", "ref", "ref_type", "confidence", F.col("line").cast("long").alias("line"))
+    return refs.filter(F.col("ref_type").isin(*kinds)).select("file", "anchor", "ref", "ref_type", "confidence", "line")
 
 
 @query(f"""SELECT 'docs/' || k || '.md' AS file, '' AS anchor, len('Before part ' || k || '.') AS n_chars FROM {P}
@@ -65,7 +65,7 @@ RST = ("Title {n}", "=========", "Uses :func:`go_{z}` here.", "", ".. code::", "
 @query(f"""SELECT 'docs/' || k || '.rst' AS file, 'Title ' || n AS anchor, 3 AS n_refs FROM {P} UNION ALL SELECT 'docs/' || k || '.rst', 'Next ' || k, 0 FROM {P}""")
 def rst_sections(b: Bound) -> DataFrame:
     sections = parsers.parse_documents(_composed(b, "rst", *RST))
-    return sections.select("file", "anchor", F.size(F.filter("codeRefs", lambda r: r["refType"] != "bodytext")).cast("long").alias("n_refs"))
+    return sections.select("file", "anchor", F.size(F.filter("codeRefs", lambda r: r["refType"] != "bodytext")).alias("n_refs"))
 
 
 ASCIIDOC = ("= No section title", "== Part {n}", "See xref:part_{z}[it].", "----", "make_{k}(2)", "----", "=== More {k}", "Text.", "")
@@ -75,7 +75,7 @@ ASCIIDOC = ("= No section title", "== Part {n}", "See xref:part_{z}[it].", "----
 UNION ALL SELECT 'docs/' || k || '.adoc', 'More ' || k, 0 FROM {P}""")
 def adoc_sections(b: Bound) -> DataFrame:
     sections = parsers.parse_documents(_composed(b, "adoc", *ASCIIDOC))
-    return sections.select("file", "anchor", F.size(F.filter("codeRefs", lambda r: r["refType"] != "bodytext")).cast("long").alias("n_refs"))
+    return sections.select("file", "anchor", F.size(F.filter("codeRefs", lambda r: r["refType"] != "bodytext")).alias("n_refs"))
 
 
 HTML = ("<h1>Part {n}</h1>", "<p><code>{n}(1)</code> and <a href='x'>see_{z}(2)</a></p>", "<pre>do_{k}(3)</pre>", "")
@@ -102,7 +102,7 @@ CODE = ("/**", " * Makes {n}.", " */", "export async function make_{n}(", "  siz
 @query(f"""SELECT 'docs/' || k || '.ts' AS file, 'make_' || n AS name, 'function' AS kind, 4 AS line, 'export async function make_' || n || '( size: number = ' || z || ', names: Map<string, number>, ): Promise<void> {{' AS signature, 'Makes ' || n || '.' AS docstring FROM {P}
 UNION ALL SELECT 'docs/' || k || '.ts', 'LIMIT_' || k, 'variable', 9, 'export const LIMIT_' || k || ' = ' || z || ';', NULL FROM {P}""".replace("{{", "{"))
 def signature_fold(b: Bound) -> DataFrame:
-    return code.extract_symbols(_composed(b, "ts", *CODE)).select("file", "name", "kind", F.col("line").cast("long").alias("line"), "signature", "docstring")
+    return code.extract_symbols(_composed(b, "ts", *CODE)).select("file", "name", "kind", "line", "signature", "docstring")
 
 
 @query(f"""SELECT k, 'size: number, names_' || k || ': Map<string, number>' AS params, 'Promise<' || n || '>' AS returns FROM {P}""")
