@@ -29,14 +29,20 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which every executor shares.
+    """A new folder under ``spark.checkpoint.dir``, which every executor shares."""
+    return f"{_shared_root(spark)}/{uuid.uuid4().hex}"
 
-    Only where that setting is absent (local tests) is a temporary folder used.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{root.rstrip('/')}/docweave-{uuid.uuid4().hex}"
+
+def _shared_root(spark: SparkSession) -> str:
+    """The application's part of that folder.  Only where the setting is absent (local tests) is it a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
+    return f"{root.rstrip('/')}/docweave-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that this application has written; results that still read them are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_shared_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
