@@ -153,7 +153,7 @@ w AS (SELECT page_id, mark,
     'Content-Length: ', strlen(html), chr(13), chr(10), chr(13), chr(10), html, chr(13), chr(10), chr(13), chr(10)) AS rec,
   concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10), 'WARC-Target-URI: ', url, chr(13), chr(10),
     'Content-Length: ', strlen(html2), chr(13), chr(10), chr(13), chr(10), html2, chr(13), chr(10), chr(13), chr(10)) AS rec2 FROM r)
-SELECT page_id, page_id // 1024 AS volume, 1 AS n_records, strlen(rec) AS n_bytes,
+SELECT page_id, page_id // 1024 AS volume, CAST(1 AS BIGINT) AS n_records, strlen(rec) AS n_bytes,
   CAST(coalesce(sum(strlen(rec)) OVER (PARTITION BY page_id // 1024 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
   sha256(rec) AS digest, CASE WHEN mark <> 'ff' THEN sha256(rec2) END AS replica_digest,
   CASE WHEN mark = 'ff' THEN 'missing' WHEN mark = '00' THEN 'corrupt' ELSE 'ok' END AS status
