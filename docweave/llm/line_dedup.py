@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, column_name
+from .common import ascii_lower, column_name, materialize
 
 #: A line is boilerplate of its host if more than this share of the host's pages holds it ...
 MAX_SHARE = 0.05
@@ -43,10 +43,12 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     """``docs`` with boilerplate lines cut from ``text`` and columns n_lines, n_dropped.
 
     Null text has no lines and stays null; a null host is a host of its own; blank lines are never
-    dropped; all occurrences of a boilerplate line go, repeated rows are treated alike; an empty
-    table gives no rows.
+    dropped; all occurrences of a boilerplate line go, repeated rows are treated alike; columns of
+    ``docs`` that have one of the added names are replaced; an empty table gives no rows.
     """
-    table = boilerplate(docs, host, text, max_share, min_pages)
+    docs = docs.drop("n_lines", "n_dropped")
+    # Written first: its true size decides whether the join broadcasts it or shuffles the texts.
+    table = materialize(boilerplate(docs, host, text, max_share, min_pages))
     h, keys, lines, kept = (column_name(docs, c) for c in ("_host", "_keys", "_lines", "_kept"))
     joined = docs.join(table.select(F.col("h").alias(h), F.col("keys").alias(keys)), F.col(host).eqNullSafe(F.col(h)), "left")
     # A map of one host's keys is looked up per line; without keys the text passes as it is.
