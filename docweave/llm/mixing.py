@@ -58,8 +58,9 @@ def mix(docs: DataFrame, size: str, seed: str = "mix-1", weights: tuple[int, ...
     ends is ordered row by row, so a source with a third of all rows is never gathered in a task.
     Defined cases: null source is a source of its own, the last in order; a text without words has
     size 0 and takes 0; rows that repeat a doc_id count each; an empty table gives no rows; columns
-    of the names used here must not be in ``docs`` already (the query selects before).
+    of ``docs`` that have one of the added names are replaced.
     """
+    docs = docs.drop("source_size", "target", "taken")
     key, digest, cut = (column_name(docs, c) for c in ("_key", "_digest", "_slice"))
     # A key that is never null: joins on it are plain equi-joins, which can be split when skewed.
     rows = docs.withColumns({
@@ -91,13 +92,15 @@ def mix(docs: DataFrame, size: str, seed: str = "mix-1", weights: tuple[int, ...
     names = {c: column_name(docs, f"_{c}") for c in ("source_size", "target", "whole", "rest", "border", "border_before")}
     plan = plan.select(F.col("k").alias(key), *(F.col(c).alias(n) for c, n in names.items()))
     joined = rows.join(plan, key)
+    # Joined on the slice too, the border rows of a large source do not wait in one task for the others.
+    bordered = rows.join(plan.filter(F.col(names["border"]).isNotNull()).withColumn(column_name(docs, "_at"), F.col(names["border"])).withColumnRenamed(key, column_name(docs, "_key2")), (F.col(key) == F.col(column_name(docs, "_key2"))) & (F.col(cut) == F.col(column_name(docs, "_at"))))
     col = {c: F.col(n) for c, n in names.items()}
     out = lambda extra: [*(F.col(c) for c in base), col["source_size"].alias("source_size"), col["target"].alias("target"), (col["whole"] * F.col(size) + extra).cast("long").alias("taken")]
     at_border = F.col(cut).eqNullSafe(col["border"])
     apart = joined.filter(~at_border).select(*out(F.when(F.col(cut) < col["border"], F.col(size)).otherwise(0)))
     order = Window.partitionBy(key).orderBy(digest, "doc_id", size).rowsBetween(Window.unboundedPreceding, -1)
     before = col["border_before"] + F.coalesce(F.sum(size).over(order), F.lit(0))
-    within = joined.filter(at_border).withColumn(column_name(docs, "_before"), before)
+    within = bordered.withColumn(column_name(docs, "_before"), before)
     b = F.col(column_name(docs, "_before"))
     within = within.select(*out(F.greatest(F.lit(0), F.least(F.col(size), col["rest"] - b))))
     return apart.unionByName(within)
