@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -63,7 +64,11 @@ def column_name(df: DataFrame, wanted: str) -> str:
 # ---- texts of an Arrow batch -------------------------------------------------
 
 
-def text_slices(column: pa.Array, limit: int = 1 << 20):
+#: Bytes of text that are taken at once: what bounds the memory of a Python worker.
+SLICE_BYTES = 1 << 19
+
+
+def text_slices(column: pa.Array, limit: int = SLICE_BYTES):
     """Cuts a string column into runs of rows with about ``limit`` bytes of text each.
 
     Yields (first row, UTF-8 bytes as uint8, row offsets); null rows have no bytes.
@@ -132,18 +137,33 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: n
     if not len(starts):
         return np.zeros(0, np.uint64)
     n = len(data)
-    power = np.full(n + 1, _BASE, np.uint64)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
+    power, inverse = _powers(n + 1)
     prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(table[data] * power[:n], out=prefix[1:])
-    inverse = np.full(n + 1, _BASE_INVERSE, np.uint64)
-    inverse[0] = 1
-    np.multiply.accumulate(inverse, out=inverse)
-    value = (prefix[ends] - prefix[starts]) * inverse[starts]
+    value = table[data]
+    value *= power[:n]
+    np.cumsum(value, out=prefix[1:])
+    value = prefix[ends] - prefix[starts]
+    value *= inverse[starts]
     return mix64(value + (ends - starts).astype(np.uint64))
 
 
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse; those of usual sizes are kept."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS[0], _POWERS[1]
+    found = []
+    for base in (_BASE, _BASE_INVERSE):
+        power = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
+        power[0] = 1
+        found.append(np.multiply.accumulate(power, out=power))
+    if n <= SLICE_BYTES + 1:
+        _POWERS[:] = found
+    return found[0], found[1]
+
+
 def byte_table(of) -> np.ndarray:
     return np.array([1 if of(b) else 0 for b in range(256)], np.int8)
 
@@ -158,3 +178,22 @@ FOLDED[0x41:0x5B] = _BYTE[0x61:0x7B]
 
 def seeded_order(seed: int, *columns: str) -> Column:
     return F.xxhash64(F.lit(seed), *(F.col(c) for c in columns))
+
+
+def tidy(function):
+    """Wraps an Arrow function: at the end of a partition the worker gives free memory back.
+
+    Workers are reused by later stages; what the allocators keep would add up beside the JVM.
+    """
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return run

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_BYTES, FOLDED, text_slices, word_hashes, words_of
+from .common import ALNUM_BYTES, FOLDED, text_slices, tidy, word_hashes, words_of
 
 #: Words in a window; bytes of text in a training shard; bytes of benchmark text in one broadcast.
-WINDOW, SHARD_BYTES, PHRASE_BYTES = 8, 4 << 20, 16 << 20
+WINDOW, SHARD_BYTES, PHRASE_BYTES = 8, 1 << 20, 16 << 20
 
 
 class WaveletRanks:
@@ -247,7 +247,7 @@ def _searcher(chunks: list, text: str, cut: bool):
             added = [pa.array(n_words), pa.array(n_hit), pa.array(n_items), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + added, names=[*batch.schema.names, *(n for n, _, _ in _ADDED)])
 
-    return search
+    return tidy(search)
 
 
 def _cut(raw: bytes, first: int, last: int, starts: np.ndarray, ends: np.ndarray, hit: np.ndarray) -> str:

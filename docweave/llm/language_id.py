@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import seeded_order
+from .common import seeded_order, tidy
 
 #: N-grams of 1 to 3 characters fall into so many hashed features.
 FEATURE_BITS, ORDERS = 15, 3
@@ -148,7 +148,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample_rows:
     top-k operators select from ids alone.  Their features, not their texts, reach the driver.
     """
     known = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    df = known.select(text).mapInArrow(_document_counts, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    df = known.select(text).mapInArrow(tidy(_document_counts), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(FEATURES + 1)
     counts[df["feature"].to_numpy()] = df["n"].to_numpy()
     idf = np.log((1 + counts[FEATURES]) / (1 + counts[:FEATURES])) + 1
@@ -157,7 +157,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample_rows:
     chosen = ranked.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= sample_rows).orderBy("turn", "h", "doc_id", "lang").limit(sample_rows)
     picked = known.select("doc_id", F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"])
     texts = picked.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
-    sample = texts.mapInArrow(_sample_features, "lang string, features binary, counts binary").toArrow().to_pylist()
+    sample = texts.mapInArrow(tidy(_sample_features), "lang string, features binary, counts binary").toArrow().to_pylist()
     sample = sorted((r["lang"], r["features"], r["counts"]) for r in sample if r["features"] is not None)
     langs = sorted({r[0] for r in sample})
     rows = []
@@ -193,4 +193,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             added = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *(n for n, _ in _ADDED)])
 
-    return docs.mapInArrow(predict, T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in _ADDED)]))
+    return docs.mapInArrow(tidy(predict), T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in _ADDED)]))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLDED, SPACED_BYTES, _mixer, column_name, materialize, mix64, text_slices, word_hashes, words_of
+from .common import FOLDED, SPACED_BYTES, _mixer, column_name, materialize, mix64, text_slices, tidy, word_hashes, words_of
 
 #: BANDS bands of PERMUTATIONS permutations each (two values a permutation).  A pair of similarity
 #: 0.8 shares no band with probability (1 - 0.8 ** 6) ** 42, below 3 in a million.
@@ -103,7 +103,7 @@ def _signer(words: int):
                 packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(low.tobytes())])
                 yield pa.RecordBatch.from_arrays([ids.slice(base, n), pa.array(size.astype(np.int64)), *map(pa.array, digests), bands, packed], names=["doc_id", "n", "d1", "d2", "bands", "low"])
 
-    return sign
+    return tidy(sign)
 
 
 def sign_documents(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
@@ -224,56 +224,61 @@ def _linker(percent: int):
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
 
-    return link
+    return tidy(link)
 
 
 # ---- a filter of fixed size ---------------------------------------------------
 
 
-def id_filter(rows: DataFrame, column: str, ids: DataFrame, limit: int = FILTER_BITS) -> DataFrame:
-    """``rows`` without most of those whose id is not in ``ids`` (one column, id).
-
-    A bitmap of at most ``limit`` bits is broadcast, whatever the number of ids; false hits pass and
-    are left to the join that follows.
-    """
-    spark = rows.sparkSession
+def _bitmap(ids: DataFrame, limit: int):
+    """(broadcast words, shift): bit xxhash64(id) >>> shift is set for each id (one column, id)."""
+    spark = ids.sparkSession
     n = ids.count()
     bits = min(limit, max(1 << 16, 1 << (16 * n - 1).bit_length() if n else 0))
-    place = F.shiftrightunsigned(F.xxhash64(F.col("id")), 64 - (bits - 1).bit_length())
-    words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("b")).toArrow()
+    shift = 64 - (bits - 1).bit_length()
+    place = F.shiftrightunsigned(F.xxhash64(F.col("id")), shift)
+    word = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("b")
+    words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(word).toArrow()
     table = np.zeros(bits // 64, np.int64)
     table[words["w"].to_numpy()] = words["b"].to_numpy()
-    shared = spark.sparkContext.broadcast(table.view(np.uint64))
-    shift = 64 - (bits - 1).bit_length()
-    place_column = column_name(rows, "_place")
+    return spark.sparkContext.broadcast(table.view(np.uint64)), shift
+
+
+def filtered(rows: DataFrame, column: str, ids: DataFrame, then, schema, limit: int = FILTER_BITS) -> DataFrame:
+    """``then`` (Arrow batch -> batches) on ``rows`` without most of those whose id is not in ``ids``.
+
+    A bitmap of at most ``limit`` bits is broadcast, whatever the number of ids; false hits pass and
+    are left to the join that follows.  Filter and function share one Python worker.
+    """
+    shared, shift = _bitmap(ids, limit)
+    place = column_name(rows, "_place")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            i = batch.schema.get_field_index(place_column)
-            p = batch.column(i).to_numpy(zero_copy_only=False)
+            p = batch.column(batch.schema.get_field_index(place)).to_numpy(zero_copy_only=False)
             hit = (shared.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
             if hit.any():
-                yield batch.filter(pa.array(hit)).select([c for c in batch.schema.names if c != place_column])
+                yield from then(batch.filter(pa.array(hit)).select([c for c in batch.schema.names if c != place]))
 
-    placed = rows.filter(F.col(column).isNotNull()).withColumn(place_column, F.shiftrightunsigned(F.xxhash64(F.col(column).cast("long")), shift))
-    return placed.mapInArrow(keep, rows.schema)
+    placed = rows.filter(F.col(column).isNotNull()).withColumn(place, F.shiftrightunsigned(F.xxhash64(F.col(column).cast("long")), shift))
+    return placed.mapInArrow(tidy(keep), schema)
 
 
 # ---- confirmation and components ---------------------------------------------
 
 
-def full_sets(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
-    """(id, shingles): all shingle hashes of each text, sorted."""
+def full_sets(docs: DataFrame, ids: DataFrame, words: int, text: str = "text") -> DataFrame:
+    """(id, shingles): all shingle hashes, sorted, of the texts of ``ids`` and of a few others."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for base, data, offsets in text_slices(batch.column(1)):
-                value, bounds = shingle_sets(data, offsets, words)
-                n = len(bounds) - 1
-                packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(value.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(base, n), packed], names=["id", "shingles"])
+    def sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for base, data, offsets in text_slices(batch.column(1)):
+            value, bounds = shingle_sets(data, offsets, words)
+            n = len(bounds) - 1
+            packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(value.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(base, n), packed], names=["id", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(sets, "id long, shingles binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return filtered(rows, "doc_id", ids, sets, "id long, shingles binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -292,7 +297,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     one, two = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     joined = pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y")
-    return joined.mapInArrow(check, "a long, b long").distinct()
+    return joined.mapInArrow(tidy(check), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -341,14 +346,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     signed = materialize(sign_documents(docs, words, text))
     able = signed.filter("n > 0 AND doc_id IS NOT NULL")
     members = in_blocks(bucket_members(able), block)
-    low = id_filter(able.select("doc_id", "d1", "low"), "doc_id", members.select(F.col("rep").alias("id")).distinct())
+    small = able.select("doc_id", "d1", "low")
+    low = filtered(small, "doc_id", members.select(F.col("rep").alias("id")).distinct(), lambda batch: [batch], small.schema)
     low = low.dropDuplicates(["doc_id", "d1"]).withColumnsRenamed({"doc_id": "rep"})
     rows = members.join(low, ["rep", "d1"]).select("bucket", "i", "j", "rep", "own", "low")
     groups = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     pairs = materialize(groups.mapInArrow(_linker(percent), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = id_filter(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", ends)
-    links = confirm(pairs, full_sets(texts, words), percent)
+    links = confirm(pairs, full_sets(docs, ends, words, text), percent)
     linked = components(links)
     classes = able.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
     named = classes.join(linked, classes["rep"] == linked["id"], "left").filter("c > 1 OR component IS NOT NULL")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACED_BYTES, byte_table, materialize, seeded_order, text_slices, word_hashes, words_of
+from .common import SPACED_BYTES, byte_table, materialize, seeded_order, text_slices, tidy, word_hashes, words_of
 
 #: Bound of the labelled rows that the classifier is fitted on.
 SAMPLE_ROWS = 20_000
@@ -123,7 +123,7 @@ def document_probability(docs: DataFrame, classifier: Classifier, text: str = "t
             yield pa.RecordBatch.from_arrays([*(batch.column(j) for j in kept), pa.array(np.concatenate(p) if p else np.zeros(0))], names=[*(batch.schema.names[j] for j in kept), "p_doc"])
 
     fields = [f for f in docs.schema.fields if f.name not in (text, "p_doc")]
-    return docs.drop("p_doc").mapInArrow(score, T.StructType([*fields, T.StructField("p_doc", T.DoubleType())]))
+    return docs.drop("p_doc").mapInArrow(tidy(score), T.StructType([*fields, T.StructField("p_doc", T.DoubleType())]))
 
 
 def _logit(p: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_table, seeded_order, text_slices
+from .common import byte_table, seeded_order, text_slices, tidy
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -187,4 +187,4 @@ def scan(docs: DataFrame, models: MarkovPair, text: str = "text") -> DataFrame:
             added = [pa.array(counts[k], pa.int64()) for k in KINDS[:3]] + [pa.array(digests, pa.string()), pa.array(spans, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *(c for c, _, _ in _ADDED)])
 
-    return docs.mapInArrow(search, T.StructType([*docs.schema.fields, *(T.StructField(c, t) for c, _, t in _ADDED)]))
+    return docs.mapInArrow(tidy(search), T.StructType([*docs.schema.fields, *(T.StructField(c, t) for c, _, t in _ADDED)]))
