@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED_WORD, column_name
+from .common import SPACED_WORD, column_name, materialize
 
 #: Documents of a source are dealt by a seeded digest into this many hex digits' worth of slices.
 SLICE_DIGITS = 3
@@ -90,7 +90,9 @@ def mix(docs: DataFrame, size: str, seed: str = "mix-1", weights: tuple[int, ...
     plan = quota.join(border, "k", "left")
     base = [*docs.columns]
     names = {c: column_name(docs, f"_{c}") for c in ("source_size", "target", "whole", "rest", "border", "border_before")}
-    plan = plan.select(F.col("k").alias(key), *(F.col(c).alias(n) for c, n in names.items()))
+    # A row a source, written first: its true size decides whether the joins broadcast it or shuffle
+    # the documents, texts and all.
+    plan = materialize(plan.select(F.col("k").alias(key), *(F.col(c).alias(n) for c, n in names.items())))
     joined = rows.join(plan, key)
     # Joined on the slice too, the border rows of a large source do not wait in one task for the others.
     bordered = rows.join(plan.filter(F.col(names["border"]).isNotNull()).withColumn(column_name(docs, "_at"), F.col(names["border"])).withColumnRenamed(key, column_name(docs, "_key2")), (F.col(key) == F.col(column_name(docs, "_key2"))) & (F.col(cut) == F.col(column_name(docs, "_at"))))
