@@ -28,7 +28,7 @@ TEMPLATES = [
     ("cc-by", "licensed under a creative commons attribution license", "creative commons attribution"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
 ]
-#: Words of highest IDF that a file is looked up by; the part of a notice's index words that must agree on a place.
+#: Words of highest IDF of each notice's key phrase that a file is looked up by; the part of them that must agree on a place.
 RARE_WORDS, MIN_AGREE = 6, 0.5
 
 
@@ -45,15 +45,20 @@ def vocabulary() -> list[str]:
     return sorted({w for _, notice, _ in TEMPLATES for w in notice.split()})
 
 
-def template_postings(df: list[tuple[str, int]], total: int) -> list[tuple[str, float, list[tuple[int, int]]]]:
-    """Index: word -> (IDF, [(template, position)]); the rarest first."""
+def _key_offset(parts: list[str], key_parts: list[str]) -> int:
+    return next(i for i in range(len(parts)) if parts[i : i + len(key_parts)] == key_parts)
+
+
+def template_postings(df: list[tuple[str, int]], total: int) -> list[list[tuple[str, int]]]:
+    """Index: for each template the rarest ``RARE_WORDS`` words of its key phrase and their places in the notice."""
     known = dict(df)
-    places: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, notice, _) in enumerate(TEMPLATES):
-        for p, w in enumerate(notice.split()):
-            places.setdefault(w, []).append((t, p))
-    idf = {w: math.log((1 + total) / (1 + known.get(w, 0))) + 1 for w in places}
-    return [(w, idf[w], places[w]) for w in sorted(places, key=lambda w: (-idf[w], w))]
+    idf = lambda w: math.log((1 + total) / (1 + known.get(w, 0))) + 1
+    index = []
+    for _, notice, key in TEMPLATES:
+        offset, key_parts = _key_offset(notice.split(), key.split()), key.split()
+        rarest = sorted(set(key_parts), key=lambda w: (-idf(w), w))[:RARE_WORDS]
+        index.append([(w, offset + key_parts.index(w)) for w in rarest])
+    return index
 
 
 def base_starts(words: Column, phrase: str) -> Column:
@@ -76,13 +81,13 @@ def _all(conditions) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def _template_result(t: int, words: Column, rare: Column, begins: Column) -> Column:
+def _template_result(t: int, words: Column, rare: list[tuple[str, int]], begins: Column) -> Column:
     """(label, best score of the starts of template ``t`` that are agreed on and verified, or 0)."""
     label, notice, key = TEMPLATES[t]
     parts, key_parts = notice.split(), key.split()
-    offset = next(i for i in range(len(parts)) if parts[i : i + len(key_parts)] == key_parts)
+    offset = _key_offset(parts, key_parts)
     own = F.filter(begins, lambda b: b["t"] == t)
-    least = F.size(F.array_intersect(rare, _literal_words(sorted(set(parts))))) * MIN_AGREE
+    least = len(rare) * MIN_AGREE
 
     def passes(start: Column) -> Column:
         key_there = _all(F.get(words, start + offset + k) == w for k, w in enumerate(key_parts))
@@ -93,20 +98,19 @@ def _template_result(t: int, words: Column, rare: Column, begins: Column) -> Col
         return reduce(lambda a, b: a + b, same) / float(len(parts))
 
     best = F.array_max(F.transform(F.filter(F.array_distinct(F.transform(own, lambda b: b["s"])), passes), share))
-    # A file without the key phrase's words is not searched for the template.
-    has = _all(F.array_contains(words, w) for w in sorted(set(key_parts)))
-    return F.struct(F.lit(label).alias("label"), F.when(has, F.coalesce(best, F.lit(0.0))).otherwise(0.0).alias("score"))
+    return F.struct(F.lit(label).alias("label"), F.coalesce(best, F.lit(0.0)).alias("score"))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels and score; no join.
 
-    Base: all places of BASE_PHRASES.  Method: a file's licence words are looked up by IDF (counted
-    over all documents); each of the ``RARE_WORDS`` rarest, wherever it stands, proposes the starts
-    of the templates that have it (place minus position in the template); a start is kept if at
-    least ``MIN_AGREE`` of the file's rare words of that template agree on it and the template's key
-    phrase stands at its place from there.  Its share of the template's words, compared at their
-    relative positions, is its score; a base label scores 1.
+    Base: all places of BASE_PHRASES.  Method: every template that has all words of its key phrase
+    in the file is looked up by the ``RARE_WORDS`` of them that have the highest IDF (counted over
+    all documents); each, wherever it stands, proposes a start of the template (place minus position
+    in the template); a start is kept if at least ``MIN_AGREE`` of these words agree on it and the
+    key phrase stands at its place from there.  All of them agree where the phrase stands, so every
+    key phrase of the text is found, whatever else the file holds.  Its share of the template's
+    words, compared at their relative positions, is its score; a base label scores 1.
 
     Null and empty texts have no words, labels '' and score 0; whole texts are read, whatever their
     length; repeated rows get equal results; columns of ``docs`` that have one of the added names
@@ -114,7 +118,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     docs = docs.drop(*added)
-    names = {c: column_name(docs, f"_{c}") for c in ("words", "low", "hot", "starts", "found", "rare", "begins")}
+    names = {c: column_name(docs, f"_{c}") for c in ("words", "low", "hot", "starts", "found", "held", "rare", "begins")}
     words = F.col(names["words"])
     split = docs.withColumn(names["words"], words_column(F.col(text)))
     postings = template_postings(*document_frequencies(split, names["words"]))
@@ -126,24 +130,31 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     placed = split.withColumn(names["starts"], F.array(*starts))
     at = F.col(names["starts"])
 
-    # Rare words of the file, from the index in order of IDF.
-    index_words = _literal_words([w for w, _, _ in postings])
-    rare = F.slice(F.array_intersect(index_words, words), 1, RARE_WORDS)
-    # Only a file that holds some template's whole key phrase can pass its verification.
-    may = reduce(lambda a, b: a | b, (_all(F.array_contains(words, w) for w in sorted(set(key.split()))) for _, _, key in TEMPLATES))
-    placed = placed.withColumn(names["rare"], F.when(may, rare).otherwise(F.array().cast("array<string>")))
+    # Rare words of the file: those of the templates whose whole key phrase it may hold.
+    no_words = F.array().cast("array<string>")
+    may = [_all(F.array_contains(words, w) for w in sorted(set(key.split()))) for _, _, key in TEMPLATES]
+    held = F.filter(F.array(*(F.when(m, F.lit(t)) for t, m in enumerate(may))), lambda t: t.isNotNull())
+    placed = placed.withColumn(names["held"], held)
+    held = F.col(names["held"])
+    by_template = F.array(*(_literal_words([w for w, _ in p]) for p in postings))
+    rare = F.array_distinct(F.flatten(F.transform(held, lambda t: F.get(by_template, t))))
+    placed = placed.withColumn(names["rare"], F.when(F.size(held) > 0, rare).otherwise(no_words))
     rare = F.col(names["rare"])
-    posting = F.create_map(*(x for w, _, places in postings for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in places)))))
-    # (template, start) of each place of each rare word: one entry per distinct agreeing word.
+    places: dict[str, list[tuple[int, int]]] = {}
+    for t, own in enumerate(postings):
+        for w, p in own:
+            places.setdefault(w, []).append((t, p))
+    posting = F.create_map(*(x for w in sorted(places) for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in places[w])))))
+    # (template, start) of each place of each rare word: a template has a word once, so no entry repeats.
     proposed = F.flatten(
         F.transform(
             F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(rare, x["w"])),
-            lambda x: F.transform(F.element_at(posting, x["w"]), lambda y: F.struct(y["t"].alias("t"), (x["i"] - y["p"]).alias("s"), x["w"].alias("w"))),
+            lambda x: F.transform(F.filter(F.element_at(posting, x["w"]), lambda y: F.array_contains(held, y["t"])), lambda y: F.struct(y["t"].alias("t"), (x["i"] - y["p"]).alias("s"))),
         )
     )
-    placed = placed.withColumn(names["begins"], F.when(F.size(rare) > 0, F.array_distinct(proposed)))
+    placed = placed.withColumn(names["begins"], F.when(F.size(rare) > 0, proposed))
     begins = F.col(names["begins"])
-    results = [_template_result(t, words, rare, begins) for t in range(len(TEMPLATES))]
+    results = [_template_result(t, words, postings[t], begins) for t in range(len(TEMPLATES))]
     placed = placed.withColumn(names["found"], F.when(F.size(rare) > 0, F.filter(F.array(*results), lambda x: x["score"] > 0)).otherwise(F.array().cast("array<struct<label:string,score:double>>")))
     found = F.col(names["found"])
     every = F.flatten(at)

@@ -109,6 +109,27 @@ def test_licences_by_brute_force(spark, edge_dir, edge_docs):
     assert all(0 <= r.score <= 1 and set(r.base_labels.split(",")) <= {*r.labels.split(","), ""} for rows in got.values() for r in rows)
 
 
+def test_every_notice_of_a_text_is_found(spark):
+    from docweave.llm.license_scan import TEMPLATES, scan
+
+    notices = [n for _, n, _ in TEMPLATES]
+    vocabulary = " ".join(sorted({w for n in notices for w in n.split()}))
+    texts = [f"{a}. {b}" for a in notices for b in notices] + ["\n".join(notices), *(f"{vocabulary} x {k}" for _, _, k in TEMPLATES), *(f"the under released {k} of" for _, _, k in TEMPLATES)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in scan(docs.repartition(4)).collect():
+        words = re.findall("[a-z0-9]+", r.text.lower())
+        want, scores = set(filter(None, r.base_labels.split(","))), [0.0]
+        for label, notice, key in TEMPLATES:
+            parts, k = notice.split(), key.split()
+            at = next(i for i in range(len(parts)) if parts[i : i + len(k)] == k)
+            for i in range(len(words)):
+                if words[i : i + len(k)] == k:
+                    want.add(label)
+                    scores.append(sum(0 <= i - at + j < len(words) and words[i - at + j] == w for j, w in enumerate(parts)) / len(parts))
+        assert r.labels == ",".join(sorted(want)), r.text
+        assert r.score == (1.0 if r.base_labels else pytest.approx(max(scores)))
+
+
 def test_secrets_by_brute_force(spark, edge_dir, edge_docs):
     from docweave.llm import secret_scan as s
 
