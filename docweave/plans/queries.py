@@ -441,15 +441,20 @@ def sig_pairs(b: Bound) -> DataFrame:
 
 
 # ---- linking -------------------------------------------------------------------
-# Symbols: distinct words of six letters and more in the benchmark; sections: documents and conversations.
+# Symbols: distinct words of ten letters and more in the benchmark; sections: documents.  The queries
+# that end in _all take words of six letters and more, and conversations as sections too.
 
 
-def _link_inputs(b: Bound) -> tuple[DataFrame, DataFrame]:
-    found = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{10,})"), F.lit(1))
+def _link_inputs(b: Bound, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    found = F.regexp_extract_all(F.lower("text"), F.lit(f"([a-z]{{{6 if whole else 10},}})"), F.lit(1))
     word = b.table("benchmark").select("item_id", F.explode(found).alias("name"))
     symbols = word.groupBy("name").agg(F.min("item_id").alias("item")).select(F.sha2("name", 256).alias("symbol_id"), "name", F.concat(F.lit("src/"), (F.col("item") % 7).cast("string"), F.lit(".sql:1")).alias("location"))
     first = F.regexp_extract("text", "^([A-Za-z]+( [A-Za-z]+){1,5})", 1)
-    sections = b.table("documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("docs/"), (F.col("doc_id") % 7).cast("string"), F.lit(".md")).alias("file"), first.alias("anchor"), F.col("text").alias("content"))
+    section = lambda df, doc_id, key: df.select(doc_id.alias("doc_id"), F.concat(F.lit("docs/"), (F.col(key) % 7).cast("string"), F.lit(".md")).alias("file"), first.alias("anchor"), F.col("text").alias("content"))
+    sections = section(b.table("documents"), F.col("doc_id").cast("string"), "doc_id")
+    if whole:
+        turn = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))
+        sections = sections.unionByName(section(b.table("conversations"), turn, "conv_id"))
     return symbols, sections
 
 
@@ -460,16 +465,34 @@ tok AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(content, '[A-Za-
 hw AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(anchor, '[A-Za-z0-9_]+'))) AS w FROM se)"""
 
 
-@query(f"WITH {LINKED} SELECT symbol_id, doc_id FROM sy JOIN tok ON sy.name = tok.w JOIN se USING (doc_id) WHERE anchor <> ''")
-def review_implied(b: Bound) -> DataFrame:
-    symbols, sections = _link_inputs(b)
+def _whole(sql: str) -> str:
+    """The same over words of six letters and more, and over conversations too."""
+    turns = "UNION ALL SELECT 'c' || conv_id || ':' || turn, regexp_extract(text, '^([A-Za-z]+( [A-Za-z]+){1,5})', 1), text, CAST(conv_id % 7 AS VARCHAR) FROM conversations"
+    return sql.replace("{10,}", "{6,}").replace("AS stem FROM documents)", f"AS stem FROM documents {turns})")
+
+
+IMPLIED = f"WITH {LINKED} SELECT symbol_id, doc_id FROM sy JOIN tok ON sy.name = tok.w JOIN se USING (doc_id) WHERE anchor <> ''"
+
+
+def _implied(b: Bound, whole: bool) -> DataFrame:
+    symbols, sections = _link_inputs(b, whole)
     nothing = symbols.select("symbol_id").withColumn("doc_id", F.lit("")).filter("false")
     return linking.review_implied(symbols, sections, nothing)
 
 
-def _refs(sections: DataFrame) -> DataFrame:
-    """Every word of ten letters and more that is the second of its text's line counts as in backticks."""
-    found = F.regexp_extract_all("content", F.lit("(?m)^[A-Za-z]+ ([a-z]{10,})"), F.lit(1))
+@query(IMPLIED)
+def review_implied(b: Bound) -> DataFrame:
+    return _implied(b, False)
+
+
+@query(_whole(IMPLIED))
+def review_implied_all(b: Bound) -> DataFrame:
+    return _implied(b, True)
+
+
+def _refs(sections: DataFrame, whole: bool = False) -> DataFrame:
+    """Every word of ten (six) letters and more that is the second of its text's line counts as in backticks."""
+    found = F.regexp_extract_all("content", F.lit(f"(?m)^[A-Za-z]+ ([a-z]{{{6 if whole else 10},}})"), F.lit(1))
     return sections.select("doc_id", F.explode(F.array_distinct(found)).alias("ref"), F.lit("backtick").alias("ref_type"))
 
 
@@ -484,6 +507,12 @@ def autolink_pass1(b: Bound) -> DataFrame:
     return linking.autolink_pass1(symbols, sections, _refs(sections))
 
 
+@query(_whole(f"WITH {PASS1} SELECT * FROM p1"))
+def autolink_pass1_all(b: Bound) -> DataFrame:
+    symbols, sections = _link_inputs(b, whole=True)
+    return linking.autolink_pass1(symbols, sections, _refs(sections, whole=True))
+
+
 PASS2 = f"""{PASS1}, n AS (SELECT *, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS a FROM sy WHERE symbol_id NOT IN (SELECT symbol_id FROM p1)),
 h AS (SELECT *, regexp_replace(lower(anchor), '[^a-z0-9]', '', 'g') AS b FROM se WHERE anchor <> ''),
 x AS (SELECT symbol_id, doc_id, n.stem = h.stem AS same, contains(lower(anchor), name) AS sub, a, b, least(len(a), len(b)) AS m FROM n, h),
@@ -492,19 +521,40 @@ f AS (SELECT symbol_id, doc_id, same, sub, contains(b, a) OR contains(a, b) OR (
 p2 AS (SELECT symbol_id, doc_id, round(CASE WHEN sub THEN 0.7::DOUBLE ELSE 0.6::DOUBLE END + CASE WHEN same THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END, 6) AS confidence FROM f WHERE sub OR fuzzy)"""
 
 
+def _pass2(b: Bound, whole: bool) -> DataFrame:
+    symbols, sections = _link_inputs(b, whole)
+    refs = _refs(sections, whole)
+    return linking.autolink_pass2(symbols, sections, refs, linking.autolink_pass1(symbols, sections, refs))
+
+
 @query(f"WITH {PASS2} SELECT * FROM p2")
 def autolink_pass2(b: Bound) -> DataFrame:
-    symbols, sections = _link_inputs(b)
-    refs = _refs(sections)
-    return linking.autolink_pass2(symbols, sections, refs, linking.autolink_pass1(symbols, sections, refs))
+    return _pass2(b, False)
 
 
-@query(f"""WITH {PASS2}, l AS (SELECT confidence AS c FROM p1 UNION ALL SELECT confidence FROM p2)
-SELECT count(*) FILTER (WHERE c >= 0.8) AS high, count(*) FILTER (WHERE c >= 0.5 AND c < 0.8) AS medium, count(*) FILTER (WHERE c < 0.5) AS low, count(*) AS total FROM l""")
-def autolink_summary(b: Bound) -> DataFrame:
-    symbols, sections = _link_inputs(b)
+@query(_whole(f"WITH {PASS2} SELECT * FROM p2"))
+def autolink_pass2_all(b: Bound) -> DataFrame:
+    return _pass2(b, True)
+
+
+SUMMARY = f"""WITH {PASS2}, l AS (SELECT confidence AS c FROM p1 UNION ALL SELECT confidence FROM p2)
+SELECT count(*) FILTER (WHERE c >= 0.8) AS high, count(*) FILTER (WHERE c >= 0.5 AND c < 0.8) AS medium, count(*) FILTER (WHERE c < 0.5) AS low, count(*) AS total FROM l"""
+
+
+def _summary(b: Bound, whole: bool) -> DataFrame:
+    symbols, sections = _link_inputs(b, whole)
     nothing = symbols.select("symbol_id").withColumns({"doc_id": F.lit(""), "rel_type": F.lit("describes")}).filter("false")
-    return linking.autolink_summary(linking.autolink(symbols, sections, _refs(sections), nothing))
+    return linking.autolink_summary(linking.autolink(symbols, sections, _refs(sections, whole), nothing))
+
+
+@query(SUMMARY)
+def autolink_summary(b: Bound) -> DataFrame:
+    return _summary(b, False)
+
+
+@query(_whole(SUMMARY))
+def autolink_summary_all(b: Bound) -> DataFrame:
+    return _summary(b, True)
 
 
 @query("""WITH r AS (SELECT o.o_orderkey AS doc_id, s.name AS ref, 'brand_' || CAST(11 + o.o_custkey % 15 AS VARCHAR) AS d FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN symbols s ON s.src_key = l.l_partkey WHERE l.l_quantity >= 45),
