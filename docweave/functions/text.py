@@ -116,10 +116,15 @@ def fuzzy_match(needle: Column, haystack: Column) -> Column:
     return F.coalesce((F.length(n) > 0) & (F.length(h) > 0) & similar, F.lit(False))
 
 
-def occurrence_count(text: Column, part: Column, longest: int = 10_000, most: int = 100_000) -> Column:
-    """Occurrences without overlap; -1 for a part that is longer than ``longest`` or found ``most`` times."""
+def occurrence_count(text: Column, part: Column, longest: int | None = None, most: int | None = None) -> Column:
+    """Occurrences without overlap; if limits are given, -1 for a part that is longer than ``longest`` or found ``most`` times."""
     n = F.when(F.length(part) == 0, 0).otherwise(((F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.length(part)).cast("int"))
-    return F.when((F.length(part) > longest) | (n >= most), -1).otherwise(n).cast("long")
+    over = F.lit(False)
+    if longest is not None:
+        over |= F.length(part) > longest
+    if most is not None:
+        over |= n >= most
+    return F.when(over, -1).otherwise(n).cast("long")
 
 
 def strip_tail(signature: Column) -> Column:

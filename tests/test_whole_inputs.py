@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
+from docweave.functions.text import occurrence_count
+from docweave.operators import rewrite
 from docweave.plans import queries as core
 from tests.oracle import connect
 
@@ -16,3 +20,17 @@ def test_implied_reads_short_names_and_conversations(spark, sf_dir):
     got = [r.doc_id for r in core.QUERIES["review_implied_all"](spark, sf_dir).collect()]
     assert len(got) == sum(map(len, named.values()))
     assert {d for d, n in named.items() if n} == set(got) and any(d.startswith("c") for d in got)
+
+
+def test_rewrites_have_no_limit(spark):
+    long = "x" * 10_001
+    docs = spark.createDataFrame([(1, "the " * 100_000, "the"), (2, f"a {long} b", long)], "id int, text string, old string")
+    n = {r.id: r.n for r in docs.select("id", occurrence_count(F.col("text"), F.col("old")).alias("n")).collect()}
+    assert n == {1: 100_000, 2: 1}
+    put = {r.id: r for r in rewrite.rewrite_signature(docs, "text", F.col("old"), F.lit("THE")).collect()}
+    assert (put[1].n_replaced, put[1].text) == (100_000, "THE " * 100_000)
+    assert (put[2].n_replaced, put[2].text) == (1, "a THE b")
+    outcomes = {r.id: (r.outcome, r.text) for r in rewrite.rewrite_unique(docs, "text", F.col("old"), F.lit("new")).collect()}
+    assert outcomes == {1: ("ambiguous", "the " * 100_000), 2: ("replaced", "a new b")}
+    limited = docs.select(occurrence_count(F.col("text"), F.col("old"), longest=10_000, most=100_000).alias("n"))
+    assert [r.n for r in limited.collect()] == [-1, -1]
