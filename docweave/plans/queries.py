@@ -294,19 +294,27 @@ def cleanup_orphans(b: Bound) -> DataFrame:
     return state.cleanup_orphans(b.state.with_(doc_sections=unique), unique.filter("src_key % 7 <> 0"), AS_OF)
 
 
-def _commands(b: Bound) -> DataFrame:
-    ok = b.map0.select("symbol_id", "doc_id", "rel_type", "review_status", "l_linenumber", "l_quantity").filter("l_quantity = 17")
+def _commands(b: Bound, which: str = "l_quantity = 17") -> DataFrame:
+    ok = b.map0.select("symbol_id", "doc_id", "rel_type", "review_status", "l_linenumber", "l_quantity").filter(which)
     bad = lambda c, k, v: F.when(F.col("l_linenumber") == k, v).otherwise(F.col(c)).alias(c)
     return ok.select(bad("symbol_id", 1, "?"), bad("doc_id", 2, "?"), bad("rel_type", 3, "mentions"), bad("review_status", 4, "maybe"))
 
 
-@query("""WITH c AS (SELECT CASE WHEN l_linenumber = 1 THEN '?' ELSE symbol_id END AS symbol_id, CASE WHEN l_linenumber = 2 THEN '?' ELSE doc_id END AS doc_id,
+VALIDATED = """WITH c AS (SELECT CASE WHEN l_linenumber = 1 THEN '?' ELSE symbol_id END AS symbol_id, CASE WHEN l_linenumber = 2 THEN '?' ELSE doc_id END AS doc_id,
 CASE WHEN l_linenumber = 3 THEN 'mentions' ELSE rel_type END AS rel_type, CASE WHEN l_linenumber = 4 THEN 'maybe' ELSE review_status END AS review_status FROM map0 WHERE l_quantity = 17)
-SELECT *, CASE WHEN rel_type = 'mentions' THEN 'invalid rel_type' WHEN review_status = 'maybe' THEN 'invalid review_status' WHEN symbol_id = '?' THEN 'symbol not found' WHEN doc_id = '?' THEN 'section not found' ELSE 'ok' END AS outcome FROM c""")
+SELECT *, CASE WHEN rel_type = 'mentions' THEN 'invalid rel_type' WHEN review_status = 'maybe' THEN 'invalid review_status' WHEN symbol_id = '?' THEN 'symbol not found' WHEN doc_id = '?' THEN 'section not found' ELSE 'ok' END AS outcome FROM c"""
+
+
+@query(VALIDATED)
 def link_validate(b: Bound) -> DataFrame:
     return state.link_validate(b.state, _commands(b))
 
 
+@query(VALIDATED.replace(" WHERE l_quantity = 17", ""))
+def link_validate_all(b: Bound) -> DataFrame:
+    return state.link_validate(b.state, _commands(b, "true"))
+
+
 @query("SELECT symbol_id, doc_id, rel_type, CASE WHEN review_status = 'auto' THEN 'confirmed' ELSE review_status END AS review_status FROM mappings")
 def bulk_review(b: Bound) -> DataFrame:
     return state.bulk_review(b.mappings, "confirmed").drop("created_at")
@@ -557,18 +565,30 @@ def autolink_summary_all(b: Bound) -> DataFrame:
     return _summary(b, True)
 
 
-@query("""WITH r AS (SELECT o.o_orderkey AS doc_id, s.name AS ref, 'brand_' || CAST(11 + o.o_custkey % 15 AS VARCHAR) AS d FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN symbols s ON s.src_key = l.l_partkey WHERE l.l_quantity >= 45),
+INGESTED = """WITH r AS (SELECT o.o_orderkey AS doc_id, s.name AS ref, 'brand_' || CAST(11 + o.o_custkey % 15 AS VARCHAR) AS d FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN symbols s ON s.src_key = l.l_partkey WHERE l.l_quantity >= 45),
 c AS (SELECT DISTINCT r.doc_id, r.ref, s.id AS symbol_id, regexp_replace(regexp_replace(s.file, '^.*/', ''), '[.][^.]*$', '') = r.d AS same FROM (SELECT DISTINCT doc_id, ref, d FROM r) r JOIN symbols s ON s.name = r.ref),
 n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, ref) AS n, count(*) FILTER (WHERE same) OVER (PARTITION BY doc_id, ref) AS k FROM c)
-SELECT CAST(doc_id AS VARCHAR) AS doc_id, ref, symbol_id FROM n WHERE n = 1 OR (same AND k = 1)""")
-def ingest_links(b: Bound) -> DataFrame:
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, ref, symbol_id FROM n WHERE n = 1 OR (same AND k = 1)"""
+
+
+def _ingested(b: Bound, which: str) -> DataFrame:
     symbols = b.symbols.select(F.col("id").alias("symbol_id"), "name", "location", "src_key")
     orders = b.table("orders").select(F.col("o_orderkey").cast("string").alias("doc_id"), F.concat(F.lit("docs/brand_"), (11 + F.col("o_custkey") % 15).cast("string"), F.lit(".md")).alias("file"), "o_orderkey")
-    lines = b.table("lineitem").filter("l_quantity >= 45").select("l_orderkey", "l_partkey")
+    lines = b.table("lineitem").filter(which).select("l_orderkey", "l_partkey")
     refs = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(symbols, lines["l_partkey"] == symbols["src_key"]).select("doc_id", F.col("name").alias("ref"))
     return linking.ingest_links(symbols.drop("src_key"), orders.select("doc_id", "file"), refs)
 
 
+@query(INGESTED)
+def ingest_links(b: Bound) -> DataFrame:
+    return _ingested(b, "l_quantity >= 45")
+
+
+@query(INGESTED.replace(" WHERE l.l_quantity >= 45", ""))
+def ingest_links_all(b: Bound) -> DataFrame:
+    return _ingested(b, "true")
+
+
 # ---- events --------------------------------------------------------------------
 
 SESSIONS = """WITH e AS (SELECT user_id % 97 AS key, epoch_us(ts) AS t, event_type, event_id FROM events),

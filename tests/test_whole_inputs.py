@@ -34,3 +34,17 @@ def test_rewrites_have_no_limit(spark):
     assert outcomes == {1: ("ambiguous", "the " * 100_000), 2: ("replaced", "a new b")}
     limited = docs.select(occurrence_count(F.col("text"), F.col("old"), longest=10_000, most=100_000).alias("n"))
     assert [r.n for r in limited.collect()] == [-1, -1]
+
+
+def test_all_lines_are_validated_and_linked(spark, sf_dir):
+    con = connect(sf_dir)
+    joined = "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"
+    (lines,) = con.execute(f"SELECT count(*) FROM {joined}").fetchone()
+    assert core.QUERIES["link_validate_all"](spark, sf_dir).count() == lines
+    files: dict[str, list] = {}
+    for name, brand in con.execute("SELECT replace(p_name, ' ', '_'), replace(lower(p_brand), '#', '_') FROM part").fetchall():
+        files.setdefault(name, []).append(brand)
+    uses = con.execute(f"SELECT DISTINCT CAST(o_orderkey AS VARCHAR), replace(p_name, ' ', '_'), 'brand_' || CAST(11 + o_custkey % 15 AS VARCHAR) FROM {joined}").fetchall()
+    want = {(doc, name) for doc, name, own in uses if len(files[name]) == 1 or files[name].count(own) == 1}
+    got = [(r.doc_id, r.ref) for r in core.QUERIES["ingest_links_all"](spark, sf_dir).collect()]
+    assert len(got) == len(want) and set(got) == want
