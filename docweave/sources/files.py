@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .code import LANGUAGES
 from .ignore import ignored
-from .parsers import FORMATS, MAX_BYTES
+from .parsers import FORMATS
 
 # Folders that a walk never enters.
 SKIPPED = ("node_modules", "dist", "build", "target", "__pycache__", "vendor")
@@ -19,18 +19,19 @@ def walk(path: Column, extensions: list[str]) -> Column:
     return path.rlike(rf"(?i)\.({'|'.join(extensions)})$") & ~path.rlike(rf"(^|/)(\.[^/]+|{skipped})/") & ~path.rlike(r"(^|/)\.[^/]+$")
 
 
-def read_files(spark: SparkSession, root: str, extensions: list[str], rules: list[str] | None = None, since: str | None = None, max_bytes: int = MAX_BYTES, limit: int | None = None) -> DataFrame:
+def read_files(spark: SparkSession, root: str, extensions: list[str], rules: list[str] | None = None, since: str | None = None, max_bytes: int | None = None, limit: int | None = None) -> DataFrame:
     """(path, content, modified, size) below a folder, with paths relative to it.
 
     Paths, sizes and times are filtered on the file listing, before contents are read.  ``since`` is
-    a high-water mark: files not modified more than a second after it are skipped.  ``limit`` caps
-    the walk and is off by default.
+    a high-water mark: files not modified more than a second after it are skipped.  ``max_bytes``
+    skips longer files and ``limit`` caps the walk; both are off by default.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = reader.load(root)
     base = root.rstrip("/").split("://")[-1].split("/", 1)[-1] if "://" in root else root.rstrip("/")
     relative = F.regexp_replace("path", rf"^.*?\Q{base}\E/", "")
-    chosen = files.filter(F.col("length") <= max_bytes).withColumn("relative", relative).filter(walk(F.col("relative"), extensions))
+    files = files if max_bytes is None else files.filter(F.col("length") <= max_bytes)
+    chosen = files.withColumn("relative", relative).filter(walk(F.col("relative"), extensions))
     if rules:
         chosen = chosen.filter(~ignored(F.col("relative"), rules))
     if since is not None:

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 REF = "struct<symbolName:string,refType:string,confidence:double,lineInDoc:int>"
 SECTION_SCHEMA = f"file string, anchor string, content string, codeRefs array<{REF}>"
-MAX_BYTES, MAX_LINES = 10 * 1024 * 1024, 100_000
 
 # Prose words that are no weak references.
 STOPWORDS = frozenset(
@@ -197,8 +196,6 @@ class Format:
 
     def sections(self, content: str) -> Iterator[tuple[str, str, list[Ref]]]:
         lines = content.split("\n")
-        if len(lines) > MAX_LINES:
-            return
         heads = self.headings(lines)
         first = heads[0][0] if heads else len(lines)
         preamble = "\n".join(lines[:first])
@@ -237,6 +234,7 @@ ASCIIDOC = Format(_asciidoc_headings, delimited_code, _found(r"(?:link|xref):([^
 
 _HTML_HEADING = re.compile(r"<h([1-6])[^>]*>(.+?)</h\1>", re.I)
 _TAG = re.compile(r"<[^>]+>")
+_PRE_END = re.compile("</pre>", re.I)
 
 
 class Html:
@@ -245,18 +243,19 @@ class Html:
     @staticmethod
     def refs(text: str, base: int) -> list[Ref]:
         seen = Seen()
-        lines = text.split("\n")
-        for i, line in enumerate(lines):
-            n = base + i
+        at = 0
+        for i, line in enumerate(text.split("\n")):
+            n, start = base + i, at
+            at += len(line) + 1
             for m in re.finditer(r"<code[^>]*>(.+?)</code>", line):
                 code = _TAG.sub("", m[1])
                 for c in CALL.finditer(code):
                     seen.add(c[1], "backtick", 0.85, n)
                 for c in re.finditer(r"\b(\w[\w.]+)\b", code, re.ASCII):
                     seen.add(c[1], "backtick", 0.6, n)
-            if re.search(r"<pre[^>]*>", line, re.I):
-                block = "\n".join(lines[i : i + 5000])
-                inner = re.split(r"</pre>", re.split(r"<pre[^>]*>", block, maxsplit=1, flags=re.I)[1], maxsplit=1, flags=re.I)[0]
+            if pre := re.search(r"<pre[^>]*>", line, re.I):
+                end = _PRE_END.search(text, start + pre.end())
+                inner = text[start + pre.end() : end.start() if end else len(text)]
                 for c in CALL.finditer(_TAG.sub("", inner)):
                     seen.add(c[1], "codeblock", 0.9, n)
             for m in re.finditer(r"<a[^>]*?href=[\"'][^\"']+[\"'][^>]*>(.+?)</a>", line):
@@ -267,8 +266,6 @@ class Html:
         return seen.refs
 
     def sections(self, content: str) -> Iterator[tuple[str, str, list[Ref]]]:
-        if content.count("\n") >= MAX_LINES:
-            return
         heads = list(_HTML_HEADING.finditer(content))
         first = heads[0].start() if heads else len(content)
         if content[:first].strip():
@@ -286,19 +283,22 @@ FORMATS = {"md": MARKDOWN, "mdx": MARKDOWN, "rst": RST, "adoc": ASCIIDOC, "ascii
 _ARROW_REF = pa.struct([("symbolName", pa.string()), ("refType", pa.string()), ("confidence", pa.float64()), ("lineInDoc", pa.int32())])
 
 
-def parse_text(path: str, content: str | None) -> list[tuple[str, str, list[Ref]]]:
+def parse_text(path: str, content: str | None, max_bytes: int | None = None, max_lines: int | None = None) -> list[tuple[str, str, list[Ref]]]:
+    """Sections of one file; a limit, if given, leaves out a longer file (``max_bytes`` counts characters)."""
     form = FORMATS.get(path.rsplit(".", 1)[-1].lower()) if path else None
-    if form is None or not content or len(content) > MAX_BYTES:
+    if form is None or not content or (max_bytes is not None and len(content) > max_bytes):
+        return []
+    if max_lines is not None and content.count("\n") >= max_lines:
         return []
     return list(form.sections(content))
 
 
-def parse_documents(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """Sections of all files: (file, anchor, content, codeRefs)."""
+def parse_documents(files: DataFrame, path: str = "path", content: str = "content", max_bytes: int | None = None, max_lines: int | None = None) -> DataFrame:
+    """Sections of all files: (file, anchor, content, codeRefs); limits on a file are off by default."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p, *s) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for s in parse_text(p, c)]
+            rows = [(p, *s) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for s in parse_text(p, c, max_bytes, max_lines)]
             refs = [[{"symbolName": r.name, "refType": r.kind, "confidence": r.confidence, "lineInDoc": r.line} for r in row[3]] for row in rows]
             columns = [pa.array([row[k] for row in rows], pa.string()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(refs, pa.list_(_ARROW_REF))], names=["file", "anchor", "content", "codeRefs"])

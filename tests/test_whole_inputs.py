@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from docweave.functions.text import occurrence_count
 from docweave.operators import rewrite
 from docweave.plans import queries as core
+from docweave.sources.files import read_docs
+from docweave.sources.parsers import parse_documents, parse_text
 from tests.oracle import connect
 
 
@@ -48,3 +50,16 @@ def test_all_lines_are_validated_and_linked(spark, sf_dir):
     want = {(doc, name) for doc, name, own in uses if len(files[name]) == 1 or files[name].count(own) == 1}
     got = [(r.doc_id, r.ref) for r in core.QUERIES["ingest_links_all"](spark, sf_dir).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_long_files_are_parsed(spark, tmp_path):
+    many = "\n" * 100_001
+    for path, text in (("a.md", "# Title\n"), ("a.rst", "Title\n=====\n"), ("a.adoc", "== Title\n"), ("a.html", "<h1>Title</h1>\n")):
+        assert [s[0] for s in parse_text(path, text + many)] == ["Title"]
+        assert parse_text(path, text + many, max_lines=100_000) == []
+    (_, _, refs), = parse_text("a.html", "<h1>T</h1>\n<pre>\n" + "-\n" * 6_000 + "lastCall()\n</PRE>\nafter()")
+    assert [r.name for r in refs if r.kind == "codeblock"] == ["lastCall()"]
+    (tmp_path / "big.md").write_text("# Big\n" + "x" * (10 * 1024 * 1024 + 1))
+    found = parse_documents(read_docs(spark, str(tmp_path)))
+    assert [r.anchor for r in found.select("anchor").collect()] == ["Big"]
+    assert read_docs(spark, str(tmp_path), max_bytes=1_000).count() == 0
