@@ -3,37 +3,130 @@
 from __future__ import annotations
 
 import math
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, ascii_lower, column_name
+from .common import LOWER, UPPER, column_name
 
 #: Fixed phrases and their labels; every place where the words stand consecutively counts.
 BASE_PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
-#: Licence notices: label, notice, mandatory key phrase (words of the notice).
-TEMPLATES = [
-    ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
-    ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    ("gpl", "this work is licensed under the gnu general public license version 3", "gnu general public license"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license", "gnu general public license"),
-    ("lgpl", "under the terms of the gnu lesser general public license", "gnu lesser general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", "permission to use copy modify"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    ("cc-by", "licensed under a creative commons attribution license", "creative commons attribution"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
+
+# The wording of public licence notices, and the key phrase that each cannot be without.
+_NOTICES = [
+    ("mit", "Released under the MIT License.", "mit license"),
+    (
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation
+        the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and
+        to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above
+        copyright notice and this permission notice shall be included in all copies or substantial portions of the
+        Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+        LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software",
+    ),
+    (
+        "apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
+        with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless
+        required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+        "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
+        specific language governing permissions and limitations under the License.""",
+        "apache license version 2 0",
+    ),
+    ("gpl", "This work is licensed under the GNU General Public License, version 3.", "gnu general public license"),
+    (
+        "gpl",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+        option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
+        WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+        "under the terms of the gnu general public license",
+    ),
+    (
+        "lgpl",
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser
+        General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at
+        your option) any later version.""",
+        "gnu lesser general public license",
+    ),
+    (
+        "agpl",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero
+        General Public License as published by the Free Software Foundation, either version 3 of the License, or (at
+        your option) any later version.""",
+        "gnu affero general public license",
+    ),
+    (
+        "bsd",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+        the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this
+        list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above
+        copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+        materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its
+        contributors may be used to endorse or promote products derived from this software without specific prior
+        written permission.""",
+        "redistribution and use in source and binary forms",
+    ),
+    (
+        "mpl-2.0",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+        not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+        "mozilla public license",
+    ),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.", "eclipse public license"),
+    (
+        "isc",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+        "permission to use copy modify",
+    ),
+    (
+        "zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be
+        held liable for any damages arising from the use of this software. Permission is granted to anyone to use this
+        software for any purpose, including commercial applications, and to alter it and redistribute it freely.""",
+        "permission is granted to anyone to use this software for any purpose",
+    ),
+    (
+        "bsl-1.0",
+        """Boost Software License - Version 1.0. Permission is hereby granted, free of charge, to any person or
+        organization obtaining a copy of the software and accompanying documentation covered by this license.""",
+        "boost software license",
+    ),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0.", "cc by nc"),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0.", "cc by sa"),
+    ("cc-by-nd", "Licensed under CC BY-ND 4.0.", "cc by nd"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "creative commons attribution"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "creative commons attribution sharealike"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "creative commons attribution noncommercial"),
+    ("cc0", "To the extent possible under law, the author has dedicated all copyright and related rights to the public domain. CC0 1.0 Universal.", "cc0 1 0 universal"),
+    (
+        "unlicense",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+        publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary,
+        for any purpose, commercial or non-commercial, and by any means.""",
+        "unencumbered software released into the public domain",
+    ),
 ]
-#: Words of highest IDF of each notice's key phrase that a file is looked up by; the part of them that must agree on a place.
-RARE_WORDS, MIN_AGREE = 6, 0.5
+#: Licence notices: label, words of the notice, mandatory key phrase (words of the notice).
+TEMPLATES = [(label, " ".join(re.findall("[a-z0-9]+", notice.lower())), key) for label, notice, key in _NOTICES]
+#: So many words of highest IDF of a key phrase have their postings intersected; the key phrase is verified in any case.
+LOOKUP_WORDS = 6
+
+_DELIMITERS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 
 def words_column(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(f"({ALNUM_WORD})"), F.lit(1))
+    """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lowered.
+
+    One translation lowers letters and turns every delimiter into a space, at which the text is split.
+    """
+    spaced = F.translate(F.coalesce(text, F.lit("")), _DELIMITERS + UPPER, " " * len(_DELIMITERS) + LOWER)
+    return F.array_remove(F.split(spaced, " ", -1), "")
 
 
 def _literal_words(words: list[str]) -> Column:
@@ -41,8 +134,8 @@ def _literal_words(words: list[str]) -> Column:
 
 
 def vocabulary() -> list[str]:
-    """The words that templates are indexed by.  Its size is that of the templates, not of any corpus."""
-    return sorted({w for _, notice, _ in TEMPLATES for w in notice.split()})
+    """The words of key phrases and base phrases.  Its size is that of the templates, not of any corpus."""
+    return sorted({w for _, _, key in TEMPLATES for w in key.split()} | {w for p, _ in BASE_PHRASES for w in p.split()})
 
 
 def _key_offset(parts: list[str], key_parts: list[str]) -> int:
@@ -50,14 +143,14 @@ def _key_offset(parts: list[str], key_parts: list[str]) -> int:
 
 
 def template_postings(df: list[tuple[str, int]], total: int) -> list[list[tuple[str, int]]]:
-    """Index: for each template the rarest ``RARE_WORDS`` words of its key phrase and their places in the notice."""
+    """Index: the rarest words of each template's key phrase, rarest first, and their places in the notice."""
     known = dict(df)
     idf = lambda w: math.log((1 + total) / (1 + known.get(w, 0))) + 1
     index = []
     for _, notice, key in TEMPLATES:
         offset, key_parts = _key_offset(notice.split(), key.split()), key.split()
-        rarest = sorted(set(key_parts), key=lambda w: (-idf(w), w))[:RARE_WORDS]
-        index.append([(w, offset + key_parts.index(w)) for w in rarest])
+        rarest = sorted(set(key_parts), key=lambda w: (-idf(w), w))[:LOOKUP_WORDS]
+        index.append([(w, offset + key_parts.index(w)) for w in rarest if key_parts.count(w) == 1])
     return index
 
 
@@ -81,84 +174,74 @@ def _all(conditions) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def _template_result(t: int, words: Column, rare: list[tuple[str, int]], begins: Column) -> Column:
-    """(label, best score of the starts of template ``t`` that are agreed on and verified, or 0)."""
+def _template_result(t: int, words: Column, rare: list[tuple[str, int]], occurrences: Column, held: Column) -> Column:
+    """(label, best score of the verified starts of template ``t``, or null).
+
+    The places of each rare word, less its place in the notice, are the starts that it proposes;
+    their intersection over the rare words is verified, so the work is linear in the occurrences.
+    """
     label, notice, key = TEMPLATES[t]
     parts, key_parts = notice.split(), key.split()
     offset = _key_offset(parts, key_parts)
-    own = F.filter(begins, lambda b: b["t"] == t)
-    least = len(rare) * MIN_AGREE
-
-    def passes(start: Column) -> Column:
-        key_there = _all(F.get(words, start + offset + k) == w for k, w in enumerate(key_parts))
-        return F.coalesce(key_there, F.lit(False)) & (F.size(F.filter(own, lambda b: b["s"] == start)) >= least)
+    proposed = lambda w, p: F.transform(F.filter(occurrences, lambda x: x["w"] == w), lambda x: x["i"] - p)
+    starts = reduce(F.array_intersect, (proposed(w, p) for w, p in rare))
+    verified = F.filter(starts, lambda s: F.coalesce(_all(F.get(words, s + offset + k) == w for k, w in enumerate(key_parts)), F.lit(False)))
 
     def share(start: Column) -> Column:
-        same = (F.coalesce((F.get(words, start + k) == w).cast("int"), F.lit(0)) for k, w in enumerate(parts))
-        return reduce(lambda a, b: a + b, same) / float(len(parts))
+        same = F.filter(F.transform(_literal_words(parts), lambda w, k: F.get(words, start + k).eqNullSafe(w)), lambda x: x)
+        return F.size(same) / F.lit(float(len(parts)))
 
-    best = F.array_max(F.transform(F.filter(F.array_distinct(F.transform(own, lambda b: b["s"])), passes), share))
-    return F.struct(F.lit(label).alias("label"), F.coalesce(best, F.lit(0.0)).alias("score"))
+    best = F.when(F.array_contains(held, t), F.array_max(F.transform(verified, share)))
+    return F.struct(F.lit(label).alias("label"), best.alias("score"))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels and score; no join.
 
     Base: all places of BASE_PHRASES.  Method: every template that has all words of its key phrase
-    in the file is looked up by the ``RARE_WORDS`` of them that have the highest IDF (counted over
-    all documents); each, wherever it stands, proposes a start of the template (place minus position
-    in the template); a start is kept if at least ``MIN_AGREE`` of these words agree on it and the
-    key phrase stands at its place from there.  All of them agree where the phrase stands, so every
-    key phrase of the text is found, whatever else the file holds.  Its share of the template's
-    words, compared at their relative positions, is its score; a base label scores 1.
+    in the file is looked up by the ``LOOKUP_WORDS`` of them that have the highest IDF (counted over
+    all documents): the starts that their places propose (place minus position in the template) are
+    intersected, and a start stays if the key phrase stands at its place from there.  All lookup
+    words agree where the phrase stands, so every key phrase of the text is found, whatever else the
+    file holds.  Its share of the template's words, compared at their relative positions, is its
+    score; a base label scores 1.
 
     Null and empty texts have no words, labels '' and score 0; whole texts are read, whatever their
-    length; repeated rows get equal results; columns of ``docs`` that have one of the added names
-    are replaced; an empty table gives no rows.
+    length, in time linear in it; of several places of a template the best scores, of ties any, as
+    they are equal; repeated rows get equal results; columns of ``docs`` that have one of the added
+    names are replaced; an empty table gives no rows.
     """
     added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     docs = docs.drop(*added)
-    names = {c: column_name(docs, f"_{c}") for c in ("words", "low", "hot", "starts", "found", "held", "rare", "begins")}
-    words = F.col(names["words"])
+    names = {c: column_name(docs, f"_{c}") for c in ("words", "known", "starts", "found", "held", "occurrences")}
+    words, known, held, occurrences = (F.col(names[c]) for c in ("words", "known", "held", "occurrences"))
     split = docs.withColumn(names["words"], words_column(F.col(text)))
-    postings = template_postings(*document_frequencies(split, names["words"]))
+    frequencies, total = document_frequencies(split, names["words"])
+    postings = template_postings(frequencies, total)
+    split = split.withColumn(names["known"], F.array_intersect(words, _literal_words(vocabulary())))
 
-    # Base places; words of texts without a phrase's first word are not walked through.
-    phrases = [(p, label) for p, label in BASE_PHRASES]
+    # Base places; words of texts that lack one of a phrase's words are not walked through.
     none = F.array().cast("array<int>")
-    starts = [F.when(F.array_contains(words, p.split()[-1]) & F.array_contains(words, p.split()[0]), base_starts(words, p)).otherwise(none) for p, _ in phrases]
+    has = lambda parts: _all(F.array_contains(known, w) for w in parts)
+    starts = [F.when(has(p.split()), base_starts(words, p)).otherwise(none) for p, _ in BASE_PHRASES]
     placed = split.withColumn(names["starts"], F.array(*starts))
     at = F.col(names["starts"])
 
-    # Rare words of the file: those of the templates whose whole key phrase it may hold.
-    no_words = F.array().cast("array<string>")
-    may = [_all(F.array_contains(words, w) for w in sorted(set(key.split()))) for _, _, key in TEMPLATES]
-    held = F.filter(F.array(*(F.when(m, F.lit(t)) for t, m in enumerate(may))), lambda t: t.isNotNull())
-    placed = placed.withColumn(names["held"], held)
-    held = F.col(names["held"])
+    # Templates whose whole key phrase the file may hold, rarest words asked first; then one walk through
+    # the file collects all places of the rare words of those templates.
+    rarity = dict(frequencies)
+    by_rarity = lambda key: sorted(set(key.split()), key=lambda w: (rarity.get(w, 0), w))
+    placed = placed.withColumn(names["held"], F.array_compact(F.array(*(F.when(has(by_rarity(key)), F.lit(t)) for t, (_, _, key) in enumerate(TEMPLATES)))))
     by_template = F.array(*(_literal_words([w for w, _ in p]) for p in postings))
     rare = F.array_distinct(F.flatten(F.transform(held, lambda t: F.get(by_template, t))))
-    placed = placed.withColumn(names["rare"], F.when(F.size(held) > 0, rare).otherwise(no_words))
-    rare = F.col(names["rare"])
-    places: dict[str, list[tuple[int, int]]] = {}
-    for t, own in enumerate(postings):
-        for w, p in own:
-            places.setdefault(w, []).append((t, p))
-    posting = F.create_map(*(x for w in sorted(places) for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in places[w])))))
-    # (template, start) of each place of each rare word: a template has a word once, so no entry repeats.
-    proposed = F.flatten(
-        F.transform(
-            F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(rare, x["w"])),
-            lambda x: F.transform(F.filter(F.element_at(posting, x["w"]), lambda y: F.array_contains(held, y["t"])), lambda y: F.struct(y["t"].alias("t"), (x["i"] - y["p"]).alias("s"))),
-        )
-    )
-    placed = placed.withColumn(names["begins"], F.when(F.size(rare) > 0, proposed))
-    begins = F.col(names["begins"])
-    results = [_template_result(t, words, postings[t], begins) for t in range(len(TEMPLATES))]
-    placed = placed.withColumn(names["found"], F.when(F.size(rare) > 0, F.filter(F.array(*results), lambda x: x["score"] > 0)).otherwise(F.array().cast("array<struct<label:string,score:double>>")))
+    walked = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(rare, x["w"]))
+    placed = placed.withColumn(names["occurrences"], F.when(F.size(held) > 0, walked))
+    results = F.array(*(_template_result(t, words, postings[t], occurrences, held) for t in range(len(TEMPLATES))))
+    found = F.when(F.size(held) > 0, F.filter(results, lambda x: x["score"].isNotNull())).otherwise(F.array().cast("array<struct<label:string,score:double>>"))
+    placed = placed.withColumn(names["found"], found)
     found = F.col(names["found"])
     every = F.flatten(at)
-    base = F.array_compact(F.array(*(F.when(F.size(at[k]) > 0, label) for k, (_, label) in enumerate(phrases))))
+    base = F.array_compact(F.array(*(F.when(F.size(at[k]) > 0, label) for k, (_, label) in enumerate(BASE_PHRASES))))
     labels = F.concat(base, F.transform(found, lambda x: x["label"]))
     best = F.coalesce(F.array_max(F.transform(found, lambda x: x["score"])), F.lit(0.0))
     return placed.select(
