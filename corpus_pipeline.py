@@ -49,15 +49,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat a document (same id and text) are one.
     """
-    found = materialize(minhash.near_duplicates(docs.select("doc_id", "text"), words=5))
+    version = column_name(docs, "_version")
+    versioned = docs.withColumn(version, F.xxhash64("text"))
+    found = materialize(minhash.near_duplicates(versioned.select("doc_id", "text", version), words=5, version=version))
     # The few that go are the side whose size decides how the join is done.
-    gone = materialize(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    repeated = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    digest = column_name(docs, "_digest")
-    return kept.withColumn(digest, F.xxhash64("text")).dropDuplicates(["doc_id", digest]).select(*docs.columns)
+    gone = materialize(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col(version).alias("_text")).distinct())
+    kept = versioned.join(gone, (versioned["doc_id"] == gone["_gone"]) & (versioned[version] == gone["_text"]), "left_anti")
+    repeated = found.filter("doc_id IS NOT NULL").groupBy("doc_id", version).agg(F.count("*").alias("c")).filter("c > 1")
+    return (kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", version])).select(*docs.columns)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

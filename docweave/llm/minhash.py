@@ -2,7 +2,8 @@
 
 Each permutation gives two signature values, the minimum and the maximum over a document's
 shingles, so a signature costs half the hash evaluations of plain MinHash.  Bands of both values
-propose buckets; links are checked within buckets on compact sets and confirmed on full sets.
+propose buckets; within a bucket, links to its center are checked first, what these leave apart is
+compared in blocks, always on full sets.
 """
 
 from __future__ import annotations
@@ -84,77 +85,91 @@ def signatures(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return keys
 
 
-_SIGNED = "doc_id long, n long, d1 long, d2 long, bands array<long>, low binary"
+_SIGNED = "doc_id long, n long, d1 long, node binary, bands array<long>"
 
 
-def _signer(words: int):
+def _digests(value: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(64 bits, 128 bits) of each set, from sums over its shingles and its size."""
+    size = np.diff(bounds).astype(np.uint64)
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(v, dtype=np.uint64)]) for v in (value, mix64(value ^ _PLACE[50]))]
+    d1, d2 = (mix64(c[bounds[1:]] - c[bounds[:-1]] + size) for c in sums)
+    both = np.stack([d1, d2], axis=1).astype(">u8").tobytes()
+    return d1.view(np.int64), [both[i : i + 16] for i in range(0, len(both), 16)]
+
+
+def _signer(words: int, carried: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
+            names = ["doc_id", "n", "d1", "node", "bands", *batch.schema.names[2:]]
             for base, data, offsets in text_slices(batch.column(1)):
                 value, bounds = shingle_sets(data, offsets, words)
                 n = len(bounds) - 1
                 size = np.diff(bounds)
                 keys = signatures(value, bounds).view(np.int64)
-                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(v, dtype=np.uint64)]) for v in (value, mix64(value ^ _PLACE[50]))]
-                digests = [mix64(c[bounds[1:]] - c[bounds[:-1]] + size.astype(np.uint64)).view(np.int64) for c in sums]
+                d1, node = _digests(value, bounds)
                 bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))]), pa.int32()), pa.array(keys[size > 0].ravel()))
-                low = (value >> np.uint64(32)).astype(np.uint32)
-                packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(low.tobytes())])
-                yield pa.RecordBatch.from_arrays([ids.slice(base, n), pa.array(size.astype(np.int64)), *map(pa.array, digests), bands, packed], names=["doc_id", "n", "d1", "d2", "bands", "low"])
+                extra = [batch.column(2 + k).slice(base, n) for k in range(carried)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(base, n), pa.array(size.astype(np.int64)), pa.array(d1), pa.array(node, pa.binary()), bands, *extra], names=names)
 
     return tidy(sign)
 
 
-def sign_documents(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
-    """(doc_id, n, d1, d2, bands, low): set size, set digest, band keys, 32 bits of each shingle."""
-    return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(_signer(words), _SIGNED)
-
-
-# ---- links within buckets ----------------------------------------------------
+def sign_documents(docs: DataFrame, words: int, text: str = "text", version: str | None = None) -> DataFrame:
+    """(doc_id, n, d1, node, bands, version): set size, its digests of 64 and 128 bits, band keys.
 
-
-def bucket_members(signed: DataFrame) -> DataFrame:
-    """(bucket, rep, members): the distinct sets of each bucket that has two or more.
-
-    A set stands for all its exact copies; rep is their smallest doc_id.  Buckets with the same
-    members are one bucket.  All counts combine in the map tasks.
+    ``version`` names a long column of ``docs`` that is passed through.
     """
-    rows = signed.select(F.explode("bands").alias("bucket"), "d1", "d2", "doc_id")
-    kept = rows.groupBy("bucket").agg(F.min("d1").alias("low"), F.max("d1").alias("high"), F.count("*").alias("c"), F.sum(F.col("d1").cast("decimal(38,0)")).alias("s"))
-    kept = kept.filter("low <> high").groupBy("low", "high", "c", "s").agg(F.min("bucket").alias("bucket")).select("bucket")
-    members = rows.join(kept, "bucket").groupBy("bucket", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    members = materialize(members.select("bucket", "rep", "d1"))
-    counts = members.groupBy("bucket").agg(F.count("*").alias("members"))
-    return members.join(counts, "bucket")
+    columns = [F.col("doc_id").cast("long"), F.col(text)] + ([F.col(version).alias("version")] if version else [])
+    return docs.select(*columns).mapInArrow(_signer(words, len(columns) - 2), _SIGNED + (", version long" if version else ""))
+
 
+# ---- buckets -----------------------------------------------------------------
 
-def in_blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Adds own, i and j: a bucket of more than ``block`` members becomes blocks, each pair of them a group."""
-    chunks = F.ceil(F.col("members") / block).cast("int")
-    own = F.when(chunks <= 1, 0).otherwise(F.pmod(F.xxhash64("rep"), chunks)).cast("int")
-    dealt = members.withColumn("chunks", chunks).withColumn("own", own)
-    other = F.when(F.col("chunks") <= 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
-    return dealt.withColumn("other", F.explode(other)).select("bucket", "rep", "d1", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
+def bucket_members(able: DataFrame) -> DataFrame:
+    """(bucket, d1, n, center, n_center) of the buckets that hold two or more distinct sets, a row a set.
 
-class _Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
+    center is the bucket's set of the smallest digest: the digest is a hash, so a group of near
+    copies has the same center in most of its buckets.  Buckets with the same members are one bucket.
+    Counts and minima combine in the map tasks; the buckets are written first, so that their true
+    size decides whether the join broadcasts them or shuffles the band rows, where a hot bucket can
+    be split.
+    """
+    rows = able.select(F.explode("bands").alias("bucket"), "d1", "n")
+    kept = rows.groupBy("bucket").agg(F.min("d1").alias("center"), F.max("d1").alias("high"), F.count("*").alias("c"), F.sum(F.col("d1").cast("decimal(38,0)")).alias("s"))
+    kept = kept.filter("center <> high").groupBy("center", "high", "c", "s").agg(F.min("bucket").alias("bucket"))
+    sizes = able.groupBy(F.col("d1").alias("center")).agg(F.max("n").alias("n_center"))
+    buckets = materialize(kept.select("bucket", "center").join(sizes, "center"))
+    return materialize(rows.join(buckets, "bucket").distinct())
 
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
 
+def open_groups(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Comparisons that stars have left: (bucket, i, j, d1, own, component), grouped by (bucket, i, j).
 
-def _group_links(reps: list[int], own: list[int], sets: list[np.ndarray], across: bool, percent: int) -> list[tuple[int, int]]:
+    ``members`` has bucket, d1 and component.  Sets of one component need no comparison, so only
+    buckets of several components count.  In these the largest component is the trunk; the others
+    are compared with each other and with the trunk, in blocks of ``block`` sets, and the trunk never
+    with itself: a member of the trunk is copied once for each block of others.
+    """
+    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("m"))
+    stats = sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("m").alias("m"), F.max("m").alias("top"), F.max_by("component", "m").alias("trunk"))
+    stats = stats.filter("k > 1 AND m > 2")  # two members are a star
+    others = F.greatest(F.lit(1), F.ceil((F.col("m") - F.col("top")) / block)).cast("int")
+    whole = F.col("m") <= block
+    stats = materialize(stats.select("bucket", "trunk", whole.alias("whole"), F.when(whole, 1).otherwise(others).alias("others"), F.ceil(F.col("top") / block).cast("int").alias("trunks")))
+    dealt = members.join(stats, "bucket")
+    in_trunk = ~F.col("whole") & (F.col("component") == F.col("trunk"))
+    place = F.xxhash64("d1", "bucket")
+    own = F.when(in_trunk, F.col("others") + F.pmod(place, F.col("trunks"))).otherwise(F.pmod(place, F.col("others"))).cast("int")
+    last = F.when(in_trunk | F.col("whole"), F.col("others") - 1).otherwise(F.col("others") + F.col("trunks") - 1)
+    met = dealt.select("bucket", "d1", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    return met.select("bucket", "d1", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def _group_links(nodes: list[bytes], own: list[int], components: list[bytes], sets: list[np.ndarray], across: bool, percent: int) -> list[tuple[bytes, bytes]]:
     """Pairs of a group that are linked, as far as no other such pairs connect them already.
 
-    At most one pair fewer than members: all that components need.  Counts of equal 32-bit values
-    are at least the size of the intersection, so no link is missed; that they exceed it takes a
-    chance hit of two shingles, and full sets confirm each pair later.
+    Full sets are compared, so each link holds and a pair may be skipped once it is connected.
     """
     size = np.array([len(s) for s in sets])
     order = np.argsort(size, kind="stable")
@@ -163,9 +178,9 @@ def _group_links(reps: list[int], own: list[int], sets: list[np.ndarray], across
     distinct, flat = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
     mark = np.zeros(len(distinct), np.uint8)
     bounds = np.concatenate([[0], np.cumsum(size)])
-    union, found = _Union(len(order)), []
+    found: list[tuple[bytes, bytes]] = []
     owner = np.array(own)[order]
-    root = np.arange(len(order))
+    root = np.unique(np.array([components[k] for k in order], "S16"), return_inverse=True)[1]
     for a in range(len(order) - 1):
         last = int(np.searchsorted(size, size[a] * 100 // percent, "right"))
         if last <= a + 1:
@@ -183,46 +198,43 @@ def _group_links(reps: list[int], own: list[int], sets: list[np.ndarray], across
         else:
             values = np.concatenate([flat[bounds[k] : bounds[k + 1]] for k in rest])
             at = np.concatenate([[0], np.cumsum(size[rest])[:-1]])
-        common = np.minimum(np.add.reduceat(mark[values], at, dtype=np.int64), size[a])
+        common = np.add.reduceat(mark[values], at, dtype=np.int64)
         mark[mine] = 0
         both = size[a] + size[rest]
-        joined = False
         for k in np.flatnonzero(100 * common >= percent * (both - common)):
             b = int(rest[k])
-            x, y = union.find(a), union.find(b)
-            if x != y:
-                union.up[max(x, y)] = min(x, y)
-                found.append((reps[order[a]], reps[order[b]]))
-                joined = True
-        if joined:
-            root = np.array([union.find(k) for k in range(len(order))])
+            if root[a] != root[b]:
+                root[root == root[b]] = root[a]
+                found.append((nodes[order[a]], nodes[order[b]]))
     return found
 
 
-def _linker(percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_LINK = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
 
+def _linker(percent: int):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, reps, own, sets, out = None, [], [], [], []
+        key, nodes, own, components, sets, out = None, [], [], [], [], []
 
         def close():
-            if len(reps) > 1:
-                out.extend(p for p in _group_links(reps, own, sets, key[1] != key[2], percent) if p[0] != p[1])
+            if len(nodes) > 1:
+                out.extend(_group_links(nodes, own, components, sets, key[1] != key[2], percent))
 
         for batch in batches:
-            for bucket, i, j, rep, mine, low in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "rep", "own", "low")), strict=True):
+            for bucket, i, j, node, mine, component, shingles in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "node", "own", "component", "shingles")), strict=True):
                 if key != (bucket, i, j):
                     close()
-                    key, reps, own, sets = (bucket, i, j), [], [], []
-                reps.append(rep)
+                    key, nodes, own, components, sets = (bucket, i, j), [], [], [], []
+                nodes.append(node)
                 own.append(mine)
-                sets.append(np.frombuffer(low, np.uint32))
+                components.append(component)
+                sets.append(np.frombuffer(shingles, np.uint64))
             if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], schema=_LINK)
                 out = []
         close()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], schema=_LINK)
 
     return tidy(link)
 
@@ -264,25 +276,26 @@ def filtered(rows: DataFrame, column: str, ids: DataFrame, then, schema, limit:
     return placed.mapInArrow(tidy(keep), schema)
 
 
-# ---- confirmation and components ---------------------------------------------
+# ---- stars, confirmation and components ---------------------------------------
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, words: int, text: str = "text") -> DataFrame:
-    """(id, shingles): all shingle hashes, sorted, of the texts of ``ids`` and of a few others."""
+    """(d1, node, m, shingles): all shingle hashes, sorted, of the texts of ``ids`` and of a few others."""
 
     def sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for base, data, offsets in text_slices(batch.column(1)):
+        for _, data, offsets in text_slices(batch.column(1)):
             value, bounds = shingle_sets(data, offsets, words)
             n = len(bounds) - 1
+            d1, node = _digests(value, bounds)
             packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(value.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(base, n), packed], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(node, pa.binary()), pa.array(np.diff(bounds)), packed], names=["d1", "node", "m", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return filtered(rows, "doc_id", ids, sets, "id long, shingles binary")
+    return filtered(rows, "doc_id", ids, sets, "d1 long, node binary, m long, shingles binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
+    """Links (a, b) of nodes, from pairs (x, y) of 64-bit digests: those with 100 * intersection >= percent * union."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,13 +308,20 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(common > 0 and 100 * common >= percent * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one, two = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    joined = pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y")
-    return joined.mapInArrow(tidy(check), "a long, b long").distinct()
+    side = lambda k, node, shingles: sets.select(F.col("d1").alias(k), F.col("node").alias(node), F.col("shingles").alias(shingles))
+    # The centers first: a hot one meets rows that are still narrow.
+    joined = pairs.join(side("y", "b", "t"), "y").join(side("x", "a", "s"), "x").select("a", "b", "s", "t")
+    return joined.mapInArrow(tidy(check), "a binary, b binary")
+
+
+def star_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(x, y): each set with the center of each of its buckets, once; sizes that rule a link out are left out."""
+    apart = members.filter("d1 <> center").filter(100 * F.least("n", "n_center") >= percent * F.greatest("n", "n_center"))
+    return apart.select(F.col("d1").alias("x"), F.col("center").alias("y")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component): smallest id reachable, for all ids on links, by alternating stars.
+    """(id, component): smallest node reachable, for all ids on links, by alternating stars.
 
     Each round joins every node's neighbours to the least of them; sizes and minima combine in the
     map tasks and every round ends in a table in the shared folder.  Ends when a round changes
@@ -330,35 +350,45 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs``.
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", block: int = BLOCK, version: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept (and ``version``, if named) for every row of ``docs``.
 
     Documents are linked if 100 * intersection >= percent * union of their sets of ``words``-word
     shingles; component_id is the smallest doc_id reachable over links and kept tells whether it is
-    the document's own.  Exact copies stand for each other from the start, so a group of copies that
-    holds a third of all rows costs one member.
+    the document's own.  What is linked are sets: exact copies are one set from the start, so a group
+    of copies that holds a third of all rows costs one member.  Each bucket's sets are first compared
+    with its center, which connects most groups in a pass that is linear in members; what a bucket
+    then still holds of several components is compared in blocks.  Every comparison is of full sets.
 
     Null and blank texts have no shingles and are linked with nothing; a null doc_id is a row of its
-    own that is never linked but kept; rows that repeat a doc_id are each given out, and a row with
-    another text under a known id is judged by that text; very long texts are taken whole; other
-    columns play no part; an empty table gives no rows.
+    own that is never linked but kept; rows that repeat a doc_id are each given out, and each is
+    judged by its own text, so another text under a known id joins that text's copies alone; ties of
+    doc_id are one id; very long texts are taken whole; other columns play no part; an empty table
+    gives no rows.
     """
-    signed = materialize(sign_documents(docs, words, text))
+    signed = materialize(sign_documents(docs, words, text, version))
     able = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    members = in_blocks(bucket_members(able), block)
-    small = able.select("doc_id", "d1", "low")
-    low = filtered(small, "doc_id", members.select(F.col("rep").alias("id")).distinct(), lambda batch: [batch], small.schema)
-    low = low.dropDuplicates(["doc_id", "d1"]).withColumnsRenamed({"doc_id": "rep"})
-    rows = members.join(low, ["rep", "d1"]).select("bucket", "i", "j", "rep", "own", "low")
-    groups = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    pairs = materialize(groups.mapInArrow(_linker(percent), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    links = confirm(pairs, full_sets(docs, ends, words, text), percent)
+    members = bucket_members(able)
+    held = materialize(able.join(members.select("d1").distinct(), "d1", "left_semi").groupBy("d1", "node").agg(F.min("doc_id").alias("id")))
+    sets = full_sets(docs, held.select("id"), words, text)
+    sets = materialize(sets.join(held.select(F.col("node").alias("held")), F.col("node") == F.col("held"), "left_semi").dropDuplicates(["node"]))
+    links = materialize(confirm(star_pairs(members, percent), sets, percent).distinct())
     linked = components(links)
-    classes = able.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
-    named = classes.join(linked, classes["rep"] == linked["id"], "left").filter("c > 1 OR component IS NOT NULL")
-    named = named.select(F.col("n").alias("n_"), F.col("d1").alias("d1_"), F.col("d2").alias("d2_"), F.coalesce("component", "rep").alias("component"))
-    s = signed.select("doc_id", "n", "d1", "d2")
-    joined = s.join(named, (s["n"] == named["n_"]) & (s["d1"] == named["d1_"]) & (s["d2"] == named["d2_"]) & (s["n"] > 0) & s["doc_id"].isNotNull(), "left")
-    component = F.coalesce("component", "doc_id")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    nodes = held.select("d1", "node").join(linked, F.col("node") == F.col("id"), "left").select("d1", "node", F.coalesce("component", "node").alias("component"))
+    nodes = materialize(nodes)
+    left = open_groups(members.select("bucket", "d1").join(nodes.select("d1", "component"), "d1"), block)
+    groups = left.join(sets.select("d1", "node", "shingles"), "d1").select("bucket", "i", "j", "node", "own", "component", "shingles")
+    groups = groups.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    more = materialize(groups.mapInArrow(_linker(percent), "a binary, b binary").distinct())
+    if not more.isEmpty():
+        linked = components(links.unionByName(more))
+    # Smallest doc_id of each component; sets without a link form a component of their own.
+    classes = able.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"))
+    named = classes.join(linked, F.col("node") == F.col("id"), "left").select("node", "least", "c", F.col("component"))
+    named = materialize(named.filter("c > 1 OR component IS NOT NULL").select("node", "least", F.coalesce("component", "node").alias("component")))
+    first = materialize(named.groupBy("component").agg(F.min("least").alias("first")))
+    named = materialize(named.join(first, "component").select(F.col("node").alias("node2"), "first"))
+    joined = signed.drop("bands", "d1").join(named, (F.col("node") == F.col("node2")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
+    component = F.coalesce("first", "doc_id")
+    out = [F.col("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")]
+    return joined.select(*out, *([F.col("version").alias(version)] if version else []))

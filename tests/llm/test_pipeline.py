@@ -54,3 +54,9 @@ def test_run(spark, edge_dir):
     docs = p.run(spark, edge_dir)
     assert docs.count() > 30
     assert docs.groupBy("doc_id").count().filter("count > 1 AND doc_id <> 7").count() == 0
+
+
+def test_near_copies_drop_texts_not_ids(spark, edge_dir):
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    docs = spark.createDataFrame([(3, a, "s"), (7, f"{a} more", "s"), (7, b, "s"), (7, b, "s"), (9, b.upper(), "s")], "doc_id long, text string, source string")
+    assert sorted((r.doc_id, r.text) for r in p.near_copies(spark, docs, edge_dir).collect()) == [(3, a), (7, b)]

@@ -44,11 +44,12 @@ def test_generated_tables(name, spark, sf_dir):
 
 
 def near_components(rows, k, percent=80):
+    """Rows are nodes, so that a repeated doc_id with another text stands by that text alone."""
     sets = []
     for _, text in rows:
         w = (text or "").encode().lower().split()
         sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
-    up = {i: i for i, _ in rows}
+    up = list(range(len(rows)))
 
     def find(x):
         while up[x] != x:
@@ -59,9 +60,11 @@ def near_components(rows, k, percent=80):
         for b in range(a):
             common = len(sets[a] & sets[b])
             if common and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
-                x, y = find(rows[a][0]), find(rows[b][0])
-                up[max(x, y)] = min(x, y)
-    return sorted((i, len(s), find(i), find(i) == i) for (i, _), s in zip(rows, sets, strict=True))
+                up[find(a)] = find(b)
+    least = {}
+    for n, (i, _) in enumerate(rows):
+        least[find(n)] = min(i, least.get(find(n), i))
+    return sorted((i, len(s), least[find(n)], least[find(n)] == i) for n, ((i, _), s) in enumerate(zip(rows, sets, strict=True)))
 
 
 def documents(df):
@@ -72,13 +75,46 @@ def documents(df):
 def test_near_duplicates(words, spark, edge_docs):
     from docweave.llm import minhash
 
-    docs = edge_docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    docs = edge_docs.filter("doc_id IS NOT NULL")
     got = sorted(tuple(r) for r in minhash.near_duplicates(docs, words=words, block=4).collect())
     want = near_components(documents(docs), words)
     assert got == want
     assert sum(not w[3] for w in want) > 10
 
 
+def test_another_text_under_a_known_id(spark):
+    from docweave.llm import minhash
+
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    docs = spark.createDataFrame([(3, a), (7, f"{a} more"), (7, b), (9, b.upper()), (3, a)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in minhash.near_duplicates(docs).collect())
+    assert got == [(3, 56, 3, True), (3, 56, 3, True), (7, 56, 7, True), (7, 57, 3, False), (9, 56, 7, False)]
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_large_groups_are_linked_whole(block, spark):
+    """A trunk that its center connects, chains that only comparisons outside the stars find, and strangers."""
+    import random
+
+    from docweave.llm import minhash
+
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(40):  # edits in one place: all near each other
+        words = list(base)
+        words[r.randrange(120)] = f"e{i}"
+        rows.append((100 + i, " ".join(words)))
+    words = list(base)
+    for i in range(30):  # a chain that moves away step by step
+        words[(i * 4) % 120] = f"c{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, " ".join(base[: 40 + i]) + f" x{i} " * 50) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(tuple(x) for x in minhash.near_duplicates(docs, words=3, block=block).collect())
+    assert got == near_components(rows, 3)
+
+
 def test_near_duplicates_keeps_all_rows(spark, edge_docs):
     from docweave.llm import minhash
 
