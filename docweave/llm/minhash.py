@@ -126,7 +126,7 @@ def sign_documents(docs: DataFrame, words: int, text: str = "text", version: str
 # ---- buckets -----------------------------------------------------------------
 
 
-def bucket_members(able: DataFrame) -> DataFrame:
+def bucket_members(able: DataFrame, classes: DataFrame) -> DataFrame:
     """(bucket, d1, n, center, n_center) of the buckets that hold two or more distinct sets, a row a set.
 
     center is the bucket's set of the smallest digest: the digest is a hash, so a group of near
@@ -138,7 +138,7 @@ def bucket_members(able: DataFrame) -> DataFrame:
     rows = able.select(F.explode("bands").alias("bucket"), "d1", "n")
     kept = rows.groupBy("bucket").agg(F.min("d1").alias("center"), F.max("d1").alias("high"), F.count("*").alias("c"), F.sum(F.col("d1").cast("decimal(38,0)")).alias("s"))
     kept = kept.filter("center <> high").groupBy("center", "high", "c", "s").agg(F.min("bucket").alias("bucket"))
-    sizes = able.groupBy(F.col("d1").alias("center")).agg(F.max("n").alias("n_center"))
+    sizes = classes.select(F.col("d1").alias("center"), F.col("n").alias("n_center"))
     buckets = materialize(kept.select("bucket", "center").join(sizes, "center"))
     return materialize(rows.join(buckets, "bucket").distinct())
 
@@ -368,8 +368,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     """
     signed = materialize(sign_documents(docs, words, text, version))
     able = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    members = bucket_members(able)
-    held = materialize(able.join(members.select("d1").distinct(), "d1", "left_semi").groupBy("d1", "node").agg(F.min("doc_id").alias("id")))
+    # Exact copies are counted in the map tasks; from here on they are one row.
+    classes = materialize(able.groupBy("d1", "node", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")))
+    members = bucket_members(able, classes)
+    held = materialize(classes.join(members.select("d1").distinct(), "d1", "left_semi").select("d1", "node", F.col("least").alias("id")))
     sets = full_sets(docs, held.select("id"), words, text)
     sets = materialize(sets.join(held.select(F.col("node").alias("held")), F.col("node") == F.col("held"), "left_semi").dropDuplicates(["node"]))
     links = materialize(confirm(star_pairs(members, percent), sets, percent).distinct())
@@ -383,7 +385,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     if not more.isEmpty():
         linked = components(links.unionByName(more))
     # Smallest doc_id of each component; sets without a link form a component of their own.
-    classes = able.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"))
     named = classes.join(linked, F.col("node") == F.col("id"), "left").select("node", "least", "c", F.col("component"))
     named = materialize(named.filter("c > 1 OR component IS NOT NULL").select("node", "least", F.coalesce("component", "node").alias("component")))
     first = materialize(named.groupBy("component").agg(F.min("least").alias("first")))
