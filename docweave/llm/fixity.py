@@ -1,14 +1,22 @@
-"""WARC fixity audit: Merkle trees over records and ordered offset ranges of two replicas."""
+"""WARC fixity audit: Merkle trees over records and ordered offset ranges of two replicas.
+
+A volume (a WARC file) holds ``VOLUME_IDS`` slots of records.  Its tree has the records as leaves,
+``FANOUT`` of them under a node, and ``FANOUT`` nodes under the root; ``VOLUME_IDS`` volumes form a
+shelf, whose digest stands above their roots.  Each node covers an ordered range of offsets: it hashes
+the places, lengths and digests of its children, so it vouches for their order and extent too.  Places
+count from the node's own start, so a lost record changes the branch above it and no other.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Records of a volume (a WARC file) by id, and children of a tree node.
-VOLUME_IDS, FANOUT = 1024, 16
+#: Children of a node (2 ** 5) and slots of a volume by id, as many as two levels of nodes hold.
+FANOUT_BITS = 5
+FANOUT, VOLUME_IDS = 1 << FANOUT_BITS, 1 << 2 * FANOUT_BITS
 
 
 def warc_record(url: Column, body: Column) -> Column:
@@ -19,7 +27,7 @@ def warc_record(url: Column, body: Column) -> Column:
 
 
 def leaves(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
-    """(id, n_records, n_bytes, digest) of each id: the tree's leaves.
+    """(id, n_records, n_bytes, digest) of each id: the trees' leaves.
 
     A leaf of one record has that record's SHA-256.  Rows that repeat an id share a leaf whose
     digest combines counts and sums of their digests, so a hot id is folded in the map tasks.  A
@@ -33,81 +41,92 @@ def leaves(pages: DataFrame, key: str = "page_id", url: str = "url", body: str =
     return folded.select("id", "n_records", "n_bytes", F.when(F.col("n_records") == 1, F.col("d")).otherwise(many).alias("digest"))
 
 
-def with_offsets(table: DataFrame) -> DataFrame:
-    """Adds volume and the offset of each leaf in it, in order of id: at most VOLUME_IDS rows together."""
-    volume = F.floor(F.col("id") / VOLUME_IDS).cast("long")
-    before = Window.partitionBy("volume").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    return table.withColumn("volume", volume).withColumn("offset", F.coalesce(F.sum("n_bytes").over(before), F.lit(0)))
+def volume_of(identity: Column) -> Column:
+    """Volume of an id; the shift rounds down for negative ids and is exact for all of 64 bits."""
+    return F.shiftright(identity, 2 * FANOUT_BITS)
 
 
-def parents(nodes: DataFrame) -> DataFrame:
-    """The level above: each node hashes the ids, bytes and digests of its ordered children (FANOUT at most)."""
-    grouped = nodes.groupBy(F.floor(F.col("id") / FANOUT).cast("long").alias("up")).agg(
-        F.array_sort(F.collect_list(F.struct("id", "n_bytes", "digest"))).alias("c"), F.sum("n_bytes").alias("n_bytes")
-    )
-    text = F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["id"].cast("string"), x["n_bytes"].cast("string"), x["digest"])), ",")
-    return grouped.select(F.col("up").alias("id"), "n_bytes", F.sha2(text, 256).alias("digest"))
+def _ranged(children: Column) -> Column:
+    """Children (array of structs with n_bytes, in order) with start and stop: their offsets from the parent's start."""
+    stop = lambda i: F.aggregate(F.slice(children, 1, i), F.lit(0).cast("long"), lambda total, c: total + c["n_bytes"])
+    return F.transform(children, lambda c, i: F.struct(c.alias("of"), stop(i).alias("start"), (stop(i) + c["n_bytes"]).alias("stop")))
+
+
+def _digest(ranged: Column, key: str) -> Column:
+    """SHA-256 over key, range and digest of the children, in order."""
+    line = lambda r: F.concat_ws(":", r["of"][key].cast("string"), r["start"].cast("string"), r["stop"].cast("string"), r["of"]["digest"])
+    return F.sha2(F.array_join(F.transform(ranged, line), ","), 256)
+
+
+def trees(table: DataFrame) -> DataFrame:
+    """(shelf, volume, n_bytes, digest, nodes): a row a volume, from leaves.
+
+    nodes: array of structs of (of: node, n_bytes, digest, leaves; start, stop), leaves likewise of
+    (of: id, n_records, n_bytes, digest; start, stop).  A volume has at most ``VOLUME_IDS`` leaves,
+    whatever the ids and their number, so a row is bounded; both groupings share one exchange.
+    """
+    placed = table.withColumns({"volume": volume_of(F.col("id")), "node": F.shiftright("id", FANOUT_BITS)}).repartition("volume")
+    inner = placed.groupBy("volume", "node").agg(F.sum("n_bytes").alias("n_bytes"), F.array_sort(F.collect_list(F.struct("id", "n_records", "n_bytes", "digest"))).alias("c"))
+    inner = inner.withColumn("leaves", _ranged(F.col("c"))).select("volume", "node", "n_bytes", _digest(F.col("leaves"), "id").alias("digest"), "leaves")
+    grouped = inner.groupBy("volume").agg(F.sum("n_bytes").alias("n_bytes"), F.array_sort(F.collect_list(F.struct("node", "n_bytes", "digest", "leaves"))).alias("c"))
+    ranged = grouped.withColumn("nodes", _ranged(F.col("c")))
+    return ranged.select(F.shiftright("volume", 2 * FANOUT_BITS).alias("shelf"), "volume", "n_bytes", _digest(F.col("nodes"), "node").alias("digest"), "nodes")
 
 
-def tree(table: DataFrame, depth: int) -> list[DataFrame]:
-    """Levels from the leaves to ids div FANOUT ** depth; each level is a FANOUT-th of the one below."""
-    levels = [table.select("id", "n_bytes", "digest")]
-    for _ in range(depth):
-        levels.append(parents(levels[-1]))
-    return levels
+def shelves(volumes: DataFrame) -> DataFrame:
+    """(shelf, digest): the level above the volumes' roots, ``VOLUME_IDS`` volumes at most each."""
+    grouped = volumes.groupBy("shelf").agg(F.array_sort(F.collect_list(F.struct("volume", "n_bytes", "digest"))).alias("c"))
+    return grouped.select("shelf", _digest(_ranged(F.col("c")), "volume").alias("digest"))
 
 
-def _differing(a: DataFrame, b: DataFrame) -> DataFrame:
-    right = b.select(F.col("id").alias("id2"), F.col("n_bytes").alias("n2"), F.col("digest").alias("digest2"))
-    both = a.join(right, a["id"] == right["id2"], "full_outer").filter(~F.col("digest").eqNullSafe(F.col("digest2")))
-    return both.select(F.coalesce("id", "id2").alias("id"), "digest", "digest2")
+def _differing(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Keys whose digests differ or that one side lacks."""
+    right = b.select(F.col(key).alias("key2"), F.col("digest").alias("digest2"))
+    both = a.select(key, "digest").join(right, F.col(key) == F.col("key2"), "full_outer").filter(~F.col("digest").eqNullSafe(F.col("digest2")))
+    return both.select(F.coalesce(key, "key2").alias("bad"))
 
 
-def locate(original: DataFrame, replica: DataFrame) -> DataFrame:
-    """(id, digest, digest2) of the leaves that differ, from two leaf tables.
+def locate(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(id, digest, digest2) of the leaves that differ, from the trees of two replicas.
 
-    Top nodes are compared; of each lower level only the children of differing nodes are, so equal
-    branches are never descended into.  The depth follows the largest id, which is looked up first.
+    Shelf digests are compared first, of differing shelves the volumes' roots, of differing volumes
+    the nodes and of differing nodes the leaves; equal branches are never descended into.
     """
-    bounds = [t.agg(F.min("id"), F.max("id")).first() for t in (original, replica)]
-    ids = [abs(x) for r in bounds for x in r if x is not None]
-    depth = 1
-    while FANOUT**depth <= max(ids, default=0):
-        depth += 1
-    mine, theirs = tree(original, depth), tree(replica, depth)
-    found = _differing(mine[depth], theirs[depth])
-    for level in reversed(range(depth)):
-        up = F.floor(F.col("id") / FANOUT).cast("long")
-        bad = found.select(F.col("id").alias("bad"))
-        below = [t.join(bad, up == F.col("bad"), "left_semi") for t in (mine[level], theirs[level])]
-        found = _differing(*below)
-    return found
+    bad = materialize(_differing(shelves(mine), shelves(theirs), "shelf"))
+    below = [t.join(bad, F.col("shelf") == F.col("bad"), "left_semi") for t in (mine, theirs)]
+    bad = materialize(_differing(*below, "volume"))
+    nodes = [t.join(bad, F.col("volume") == F.col("bad"), "left_semi").select(F.inline("nodes")).select("of.node", "of.digest", "of.leaves") for t in (mine, theirs)]
+    right = nodes[1].select(F.col("node").alias("node2"), F.col("digest").alias("digest2"), F.col("leaves").alias("leaves2"))
+    apart = nodes[0].join(right, F.col("node") == F.col("node2"), "full_outer").filter(~F.col("digest").eqNullSafe(F.col("digest2")))
+    entries = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast(right.schema["leaves2"].dataType)), lambda r: F.struct(r["of"]["id"].alias("key"), r["of"]["digest"].alias("value")))
+    pair = apart.select(F.map_from_entries(entries("leaves")).alias("a"), F.map_from_entries(entries("leaves2")).alias("b"))
+    each = pair.select(F.explode(F.array_union(F.map_keys("a"), F.map_keys("b"))).alias("id"), "a", "b")
+    found = each.select("id", F.try_element_at("a", F.col("id")).alias("digest"), F.try_element_at("b", F.col("id")).alias("digest2"))
+    return found.filter(~F.col("digest").eqNullSafe(F.col("digest2")))
 
 
 def audit(pages: DataFrame, replica: DataFrame, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
     """A row for each id of either replica: volume, offset, n_records, n_bytes, digest, replica_digest, status.
 
-    status is ok, corrupt, missing (from ``replica``) or extra (in ``replica`` alone, with null
-    offset and sizes).  Null url or body counts as empty; a null id is id -1; rows that repeat an id
-    are audited as one leaf; long bodies are hashed whole; other columns play no part; two empty
-    tables give no rows.
+    offset is where the leaf's range begins in its volume.  status is ok, corrupt, missing (from
+    ``replica``) or extra (in ``replica`` alone, with null offset and sizes).  Null url or body counts
+    as empty; a null id is id -1; rows that repeat an id, the same record or another, are audited as
+    one leaf, of which ties are no case; long bodies are hashed whole; other columns, whatever their
+    names, play no part; two empty tables give no rows.
     """
-    mine, theirs = materialize(leaves(pages, key, url, body)), materialize(leaves(replica, key, url, body))
-    found = materialize(locate(mine, theirs)).select(F.col("id").alias("bad"), "digest2")
-    placed = with_offsets(mine)
-    joined = placed.join(found, placed["id"] == found["bad"], "full_outer")
-    ids = F.coalesce("id", "bad")
-    status = F.when(F.col("bad").isNull(), "ok").when(F.col("digest2").isNull(), "missing").when(F.col("digest").isNull(), "extra").otherwise("corrupt")
-    return joined.select(
-        ids.alias("page_id"),
-        F.floor(ids / VOLUME_IDS).cast("long").alias("volume"),
-        "offset",
-        "n_records",
-        "n_bytes",
-        "digest",
-        F.when(F.col("bad").isNull(), F.col("digest")).otherwise(F.col("digest2")).alias("replica_digest"),
-        status.alias("status"),
+    mine, theirs = (materialize(trees(leaves(t, key, url, body))) for t in (pages, replica))
+    found = materialize(locate(mine, theirs)).select(F.col("id").alias("bad"), "digest", "digest2")
+    rows = mine.select("volume", F.inline("nodes")).select("volume", F.col("start").alias("base"), F.inline("of.leaves"))
+    placed = rows.select("of.id", "volume", (F.col("base") + F.col("start")).alias("offset"), "of.n_records", "of.n_bytes", "of.digest")
+    faults = found.filter("digest IS NOT NULL").select("bad", "digest2")
+    status = F.when(F.col("bad").isNull(), "ok").when(F.col("digest2").isNull(), "missing").otherwise("corrupt")
+    replicated = F.when(F.col("bad").isNull(), F.col("digest")).otherwise(F.col("digest2"))
+    held = placed.join(faults, F.col("id") == F.col("bad"), "left").select(F.col("id").alias("page_id"), "volume", "offset", "n_records", "n_bytes", "digest", replicated.alias("replica_digest"), status.alias("status"))
+    none = F.lit(None).cast("long")
+    extra = found.filter("digest IS NULL").select(
+        F.col("bad").alias("page_id"), volume_of(F.col("bad")).alias("volume"), none.alias("offset"), none.alias("n_records"), none.alias("n_bytes"), "digest", F.col("digest2").alias("replica_digest"), F.lit("extra").alias("status")
     )
+    return held.unionByName(extra)
 
 
 def faulty_replica(pages: DataFrame, url: str = "url", body: str = "html") -> DataFrame:

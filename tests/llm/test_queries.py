@@ -6,6 +6,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from docweave.llm import queries as llm
 from tests.oracle import assert_same, connect
@@ -238,6 +239,35 @@ def test_fixity_finds_planted_faults(spark):
     assert {r.status for r in fixity.audit(pages, pages).collect()} == {"ok"}
 
 
+def test_fixity_of_ids_far_apart_and_clashing_columns(spark):
+    from docweave.llm import fixity
+
+    top = 1 << 60
+    rows = [(top + 3 * i, f"u{i}", "b" * (i % 7)) for i in range(300)] + [(-top, "low", None), (-1, "x", "y"), (1025, "x", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({n: F.lit("held") for n in ("id", "volume", "offset", "digest", "node", "bad", "shelf", "status")})
+    other = pages.filter(F.col("page_id") != top + 30).withColumn("html", F.when(F.col("page_id") == -top, "changed").otherwise(F.col("html")))
+    found = fixity.audit(pages, other).collect()
+    assert {r.page_id: r.status for r in found if r.status != "ok"} == {top + 30: "missing", -top: "corrupt"}
+    # Offsets are those of the records written one after the other, volume by volume.
+    at: dict[int, int] = {}
+    for r in sorted(found, key=lambda r: r.page_id):
+        assert r.volume == r.page_id >> 10 and r.offset == at.get(r.volume, 0)
+        at[r.volume] = r.offset + r.n_bytes
+
+
+def test_trees_vouch_for_order_and_extent(spark):
+    """A volume's digest changes with any record, and only the branch above a changed record does."""
+    from docweave.llm import fixity
+
+    pages = spark.createDataFrame([(i, f"u{i}", "x" * (i % 5)) for i in range(3000)], "page_id long, url string, html string")
+    one, two = ({r.volume: r for r in fixity.trees(fixity.leaves(t)).collect()} for t in (pages, pages.filter("page_id <> 1100")))
+    assert [v for v in one if one[v].digest != two[v].digest] == [1]
+    assert [a.of.node for a, b in zip(one[1].nodes, two[1].nodes, strict=True) if a.of.digest != b.of.digest] == [1100 >> 5]
+    for row in one.values():
+        assert [n.start for n in row.nodes[1:]] == [n.stop for n in row.nodes[:-1]] and row.nodes[-1].stop == row.n_bytes
+        assert all(n.of.leaves[-1].stop == n.stop - n.start for n in row.nodes)
+
+
 def test_mix_meets_targets(spark, edge_docs):
     from docweave.llm import mixing
 
