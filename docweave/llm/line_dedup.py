@@ -9,18 +9,22 @@ from .common import ascii_lower, column_name, materialize
 
 #: A line is boilerplate of its host if more than this share of the host's pages holds it ...
 MAX_SHARE = 0.05
-#: ... and at least so many pages do; below, a share says nothing about a site.
-MIN_PAGES = 4
+#: ... and at least so many do: a line of a single page repeats nothing, whatever its share.
+MIN_PAGES = 2
+_BLANK = "\t\n\x0b\x0c\r "
 
 
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_key(line: Column) -> Column:
-    """128 bits for a line; white space at its ends and ASCII case do not count.  Blank lines: null."""
-    bare = ascii_lower(F.regexp_replace(line, r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$", ""))
-    return F.when(F.length(bare) > 0, F.md5(bare))
+def line_keys(text: Column) -> Column:
+    """64 bits for each line; white space at its ends and ASCII case do not count.  Blank lines: null.
+
+    Keys are only ever compared within a host, against the few that its boilerplate has.
+    """
+    bare = lambda line: F.btrim(line, F.lit(_BLANK))
+    return F.transform(F.transform(lines_of(ascii_lower(text)), bare), lambda line: F.when(line != "", F.xxhash64(line)))
 
 
 def boilerplate(docs: DataFrame, host: str, text: str, max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -31,8 +35,8 @@ def boilerplate(docs: DataFrame, host: str, text: str, max_share: float = MAX_SH
     formed in the map tasks, counted by (host, line) and only then brought together by host, so no
     task sees all lines of a large site.  A host has at most (mean lines a page) / max_share keys.
     """
-    pages = docs.select(F.col(host).alias("h"), F.xxhash64(text).alias("page"), lines_of(F.col(text)).alias("lines"))
-    keyed = pages.select("h", "page", F.explode(F.array_distinct(F.transform("lines", line_key))).alias("key")).filter("key IS NOT NULL")
+    pages = docs.select(F.col(host).alias("h"), F.xxhash64(text).alias("page"), F.col(text).alias("t"))
+    keyed = pages.select("h", "page", F.explode(F.array_distinct(line_keys(F.col("t")))).alias("key")).filter("key IS NOT NULL")
     holding = keyed.distinct().groupBy("h", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     totals = pages.select("h", "page").distinct().groupBy("h").agg(F.count("*").alias("total"))
     over = holding.join(totals.withColumnRenamed("h", "h2"), F.col("h").eqNullSafe(F.col("h2"))).filter(F.col("n") > max_share * F.col("total"))
@@ -43,18 +47,20 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     """``docs`` with boilerplate lines cut from ``text`` and columns n_lines, n_dropped.
 
     Null text has no lines and stays null; a null host is a host of its own; blank lines are never
-    dropped; all occurrences of a boilerplate line go, repeated rows are treated alike; columns of
-    ``docs`` that have one of the added names are replaced; an empty table gives no rows.
+    dropped; all occurrences of a boilerplate line go, repeated rows are treated alike; a share equal
+    to ``max_share`` does not exceed it; very long texts are read whole; columns of ``docs`` that have
+    one of the added names are replaced; an empty table gives no rows.
     """
     docs = docs.drop("n_lines", "n_dropped")
     # Written first: its true size decides whether the join broadcasts it or shuffles the texts.
     table = materialize(boilerplate(docs, host, text, max_share, min_pages))
-    h, keys, lines, kept = (column_name(docs, c) for c in ("_host", "_keys", "_lines", "_kept"))
+    h, keys, lines, found, kept = (column_name(docs, c) for c in ("_host", "_keys", "_lines", "_found", "_kept"))
     joined = docs.join(table.select(F.col("h").alias(h), F.col("keys").alias(keys)), F.col(host).eqNullSafe(F.col(h)), "left")
-    # A map of one host's keys is looked up per line; without keys the text passes as it is.
+    # Each line's key is looked for in the host's array of longs; texts of hosts without keys pass as they are.
     split = joined.withColumn(lines, F.when(F.col(text).isNotNull(), lines_of(F.col(text))))
-    keep = F.when(F.col(keys).isNull(), F.col(lines)).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col(keys), line_key(x)), F.lit(False))))
-    cleaned = split.withColumn(kept, keep)
+    split = split.withColumn(found, F.when(F.col(keys).isNotNull(), line_keys(F.col(text))))
+    bad = lambda i: F.coalesce(F.array_contains(F.col(keys), F.get(F.col(found), i)), F.lit(False))
+    cleaned = split.withColumn(kept, F.when(F.col(keys).isNull(), F.col(lines)).otherwise(F.filter(lines, lambda x, i: ~bad(i))))
     n = F.coalesce(F.size(lines), F.lit(0))
     return cleaned.select(
         *(F.array_join(kept, "\n").alias(text) if c == text else F.col(c) for c in docs.columns),
