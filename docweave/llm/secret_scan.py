@@ -84,12 +84,21 @@ def random_samples(seed: int = 5, each: int = 400) -> list[str]:
     return ["".join(r.choices(s, k=r.randint(MIN_LENGTH, 64))) for s in sets for _ in range(each)]
 
 
+def outside(tokens: Iterator[re.Match], spans: list[tuple[int, int, str]]) -> Iterator[re.Match]:
+    """The tokens (in order, apart from each other) that overlap no span; one sweep over both."""
+    spans, k, reach = sorted(spans), 0, 0
+    for m in tokens:
+        while k < len(spans) and spans[k][0] < m.end():
+            reach, k = max(reach, spans[k][1]), k + 1
+        if reach <= m.start():
+            yield m
+
+
 def labelled_tokens(text: str) -> tuple[list[str], list[str]]:
     """(secrets, ordinary identifiers) of a text by the fixed patterns."""
     spans = base_spans(text)
     secrets = [m[2] for m in ASSIGN.finditer(text) if len(m[2]) >= 8] + [text[a:b] for a, b, k in spans if k != "assign"]
-    inside = [(a, b) for a, b, _ in spans]
-    ordinary = [m[0] for m in re.finditer(r"[A-Za-z0-9_-]{3,}", text) if not any(a < m.end() and m.start() < b for a, b in inside)]
+    ordinary = [m[0] for m in outside(re.finditer(r"[A-Za-z0-9_-]{3,}", text), spans)]
     # Long tokens that mix letters and digits are what is to be told, so they are no examples.
     return secrets, [t for t in ordinary if len(t) < MIN_LENGTH or t.isalpha()]
 
@@ -138,11 +147,7 @@ def _runs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, least: int)
 def find_spans(text: str, low: bytes, models: MarkovPair) -> tuple[list, list]:
     """(base spans, spans that the models add: candidates that overlap no base span)."""
     base = base_spans(text, low)
-    added = []
-    for m in CANDIDATE.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b, _ in base) and models.is_secret(m[0]):
-            added.append((m.start(), m.end(), "markov"))
-    return base, added
+    return base, [(m.start(), m.end(), "markov") for m in outside(CANDIDATE.finditer(text), base) if models.is_secret(m[0])]
 
 
 _ADDED = [("n_assign", pa.int64(), T.LongType()), ("n_access", pa.int64(), T.LongType()), ("n_hex", pa.int64(), T.LongType()), ("base_sha256", pa.string(), T.StringType()), ("spans", pa.string(), T.StringType())]
