@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, column_name, materialize
+from .common import ascii_lower, column_name, materialize, tidy
 
 SLOTS, MAX_KICKS = 4, 200
+#: Live digests at which a map task hands on what it has folded; rows for which a shuffle partition is made.
+FOLD_KEYS, PARTITION_ROWS = 200_000, 250_000
 
 
 class CuckooIndex:
@@ -27,6 +30,7 @@ class CuckooIndex:
         self.keys: list[bytes | None] = []
         self.owner: list[int | None] = []
         self.count = array("q")
+        self.free: list[int] = []  # rows of deleted keys, taken again by the next insertions
         self.live = 0
         self.resizes = 0
         self._room(max(2, 1 << (buckets - 1).bit_length()))
@@ -72,16 +76,22 @@ class CuckooIndex:
 
     def insert(self, key: bytes, owner: int | None = None, count: int = 1) -> None:
         """Adds a key that is not in the index."""
-        self.keys.append(key)
-        self.owner.append(owner)
-        self.count.append(count)
+        if self.free:
+            row = self.free.pop()
+            self.keys[row], self.owner[row], self.count[row] = key, owner, count
+        else:
+            row = len(self.keys)
+            self.keys.append(key)
+            self.owner.append(owner)
+            self.count.append(count)
         self.live += 1
-        if not self._place(key, len(self.keys) - 1):
+        if not self._place(key, row):
             self._resize()
 
     def _resize(self) -> None:
         kept = [i for i, k in enumerate(self.keys) if k is not None]
         self.keys, self.owner, self.count = [self.keys[i] for i in kept], [self.owner[i] for i in kept], array("q", (self.count[i] for i in kept))
+        self.free = []
         buckets = self.mask + 1
         while True:
             buckets *= 2
@@ -97,6 +107,7 @@ class CuckooIndex:
             return False
         row = self.rows[slot]
         self.prints[slot], self.keys[row], self.owner[row] = 0, None, None
+        self.free.append(row)
         self.live -= 1
         return True
 
@@ -107,8 +118,7 @@ class CuckooIndex:
             self.insert(key, owner, count)
             return
         row = self.rows[slot]
-        held = self.owner[row]
-        total = self.count[row] + count
+        held, total = self.owner[row], self.count[row] + count
         if owner is not None and (held is None or owner > held):
             self.delete(key)
             self.insert(key, owner, total)
@@ -123,14 +133,26 @@ _SCHEMA = "digest binary, owner long, copies long"
 _ARROW = pa.schema([("digest", pa.binary()), ("owner", pa.int64()), ("copies", pa.int64())])
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    index = CuckooIndex()
-    for batch in batches:
-        for key, owner, count in zip(*(batch.column(c).to_pylist() for c in ("digest", "owner", "copies")), strict=True):
-            index.merge(key, owner, count)
-    rows = list(index.items())
-    for i in range(0, len(rows), 10_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[i : i + 10_000], strict=True), _ARROW, strict=True)], schema=_ARROW)
+def _indexer(most: int | None):
+    """Folds digests in an index; one of ``most`` live keys is given out and a new one begun."""
+
+    def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = CuckooIndex()
+        for batch in batches:
+            for key, owner, count in zip(*(batch.column(c).to_pylist() for c in ("digest", "owner", "copies")), strict=True):
+                index.merge(key, owner, count)
+            if most is not None and index.live >= most:
+                yield from _given_out(index)
+                index = CuckooIndex()
+        yield from _given_out(index)
+
+    return tidy(index_rows)
+
+
+def _given_out(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
+    items = index.items()
+    while rows := list(islice(items, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
 def content_digest(text: Column) -> Column:
@@ -142,9 +164,12 @@ def digest_index(digests: DataFrame) -> DataFrame:
     """(digest, owner, copies) per distinct digest, from rows of the same columns.
 
     Each map task folds its copies in an index of its own first, so of a digest that a third of
-    all rows share only a row per task is shuffled; then one index per shuffle partition.
+    all rows share only a few rows per task are shuffled; then one index per shuffle partition.  The
+    number of these follows the number of rows, and a map task's index is emptied when it is full, so
+    neither grows with the table.
     """
-    return digests.mapInArrow(_index, _SCHEMA).repartition("digest").mapInArrow(_index, _SCHEMA)
+    parts = max(int(digests.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-digests.count() // PARTITION_ROWS))
+    return digests.mapInArrow(_indexer(FOLD_KEYS), _SCHEMA).repartition(parts, "digest").mapInArrow(_indexer(None), _SCHEMA)
 
 
 def exact_dedup(docs: DataFrame, digest: str) -> DataFrame:
