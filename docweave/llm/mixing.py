@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACED_WORD, column_name, materialize
 
-#: Documents of a source are dealt by a seeded digest into this many hex digits' worth of slices.
-SLICE_DIGITS = 3
+
+def slice_digits(rows: int) -> int:
+    """Hex digits of the digest that deal a source's documents into slices: about the root of the rows.
+
+    Then neither the slices of a source nor the documents of a slice are many.
+    """
+    return max(2, min(8, math.ceil(math.log(max(rows, 1), 16) / 2)))
 
 
 def word_count(text: Column) -> Column:
@@ -66,7 +73,7 @@ def mix(docs: DataFrame, size: str, seed: str = "mix-1", weights: tuple[int, ...
     rows = docs.withColumns({
         key: F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))),
         digest: F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256),
-    }).withColumn(cut, F.substring(digest, 1, SLICE_DIGITS))
+    }).withColumn(cut, F.substring(digest, 1, slice_digits(docs.count())))
     slices = rows.groupBy(F.col(key).alias("k"), F.col("source").alias("s"), F.col(cut).alias("c")).agg(F.sum(size).alias("n"))
     sizes = slices.groupBy("s").agg(F.sum("n").alias("source_size")).select(F.col("s").alias("source"), "source_size")
     targets = source_targets(sizes, weights, max_epochs)
