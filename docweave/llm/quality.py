@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACED_BYTES, byte_table, materialize, seeded_order, text_slices, tidy, word_hashes, words_of
+from .common import SPACED_BYTES, byte_table, column_name, materialize, seeded_order, text_slices, tidy, word_hashes, words_of
 
 #: Bound of the labelled rows that the classifier is fitted on.
 SAMPLE_ROWS = 20_000
@@ -126,6 +126,20 @@ def document_probability(docs: DataFrame, classifier: Classifier, text: str = "t
     return docs.drop("p_doc").mapInArrow(tidy(score), T.StructType([*fields, T.StructField("p_doc", T.DoubleType())]))
 
 
+def host_of(url: Column) -> Column:
+    """Host of a URL in lower case, without port and user; null where there is none."""
+    found = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    return F.when(found != "", found)
+
+
+def path_of(url: Column, levels: int = 1) -> Column:
+    """The first ``levels`` folders of a URL's path, as ``/a/b/``; a file in the root is in ``/``."""
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    parts = F.split(path, "/")
+    folders = F.slice(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), 1, levels)
+    return F.when(host_of(url).isNotNull(), F.concat(F.lit("/"), F.array_join(F.transform(folders, lambda x: F.concat(x, F.lit("/"))), "")))
+
+
 def _logit(p: Column) -> Column:
     p = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
     return F.log(p / (1 - p))
@@ -171,14 +185,16 @@ def quality(docs: DataFrame, classifier: Classifier, host: str = "source", path:
     """``docs`` without its text, with p_doc, host_posterior, path_posterior, score and keep.
 
     score adds, in log odds, how far the path's posterior lies from the corpus' mean to the
-    document's own evidence.  Null host and null path are groups of their own; null and empty texts
+    document's own evidence.  Where documents have a URL, ``host_of`` and ``path_of`` give host and
+    path; any other division of the corpus into sites and sections will do.  Null host and null path are groups of their own; null and empty texts
     are judged by their (zero) features; whole texts count; repeated rows count each; columns of
     these names in ``docs`` are replaced; an empty table gives no rows.
     """
     added = ["p_doc", "host_posterior", "path_posterior", "score", "keep"]
     scored = materialize(document_probability(docs.drop(*added), classifier, text))
-    groups = posteriors(scored, host, path).select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("mean").alias("_m"), "host_posterior", "path_posterior")
-    joined = scored.join(groups, F.col(host).eqNullSafe(F.col("_h")) & F.col(path).eqNullSafe(F.col("_p")))
-    odds = _logit(F.col("p_doc")) + _logit(F.col("path_posterior")) - _logit(F.col("_m"))
+    h, p, m = (column_name(scored, c) for c in ("_h", "_p", "_m"))
+    groups = materialize(posteriors(scored, host, path)).select(F.col("host").alias(h), F.col("path").alias(p), F.col("mean").alias(m), "host_posterior", "path_posterior")
+    joined = scored.join(groups, F.col(host).eqNullSafe(F.col(h)) & F.col(path).eqNullSafe(F.col(p)))
+    odds = _logit(F.col("p_doc")) + _logit(F.col("path_posterior")) - _logit(F.col(m))
     score = 1 / (1 + F.exp(-odds))
     return joined.select(*scored.columns, "host_posterior", "path_posterior", score.alias("score"), (score >= keep_score).alias("keep"))
