@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 
 from .common import ALNUM_BYTES, FOLDED, text_slices, tidy, word_hashes, words_of
 
-#: Words in a window; bytes of text in a training shard; bytes of benchmark text in one broadcast.
-WINDOW, SHARD_BYTES, PHRASE_BYTES = 8, 1 << 20, 16 << 20
+#: Words in a window; bytes of text in a training shard; bytes of benchmark text in one broadcast;
+#: bytes of training text that a task holds while it goes through the parts of a large benchmark.
+WINDOW, SHARD_BYTES, PHRASE_BYTES, HELD_BYTES = 8, 1 << 20, 4 << 20, 8 << 20
 
 
 class WaveletRanks:
@@ -114,26 +115,23 @@ class FMIndex:
 class Phrases:
     """Windows of a part of the benchmark: words by number, windows by length, their items."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
-        data = np.frombuffer(b"".join(t for _, t in items), np.uint8)
-        offsets = np.concatenate([[0], np.cumsum([len(t) for _, t in items])]).astype(np.int64)
-        starts, ends, rows = words_of(data, offsets, ALNUM_BYTES)
-        self.hashes, number = np.unique(word_hashes(data, starts, ends, FOLDED), return_inverse=True)
+    def __init__(self, items: list[str], lengths: np.ndarray, hashes: np.ndarray, window: int = WINDOW):
+        """``items`` in order of their words, so many of each, and all words' hashes."""
+        self.hashes, number = np.unique(hashes, return_inverse=True)
         number = number.astype(np.int32) + 1
-        self.items = sorted({i for i, _ in items})
-        item_no = {i: n for n, i in enumerate(self.items)}
-        found: dict[int, dict[bytes, set[int]]] = {}
-        bounds = np.searchsorted(rows, np.arange(len(items) + 1))
-        for k, (item, _) in enumerate(items):
-            words = number[bounds[k] : bounds[k + 1]]
-            m = min(window, len(words))
-            for i in range(len(words) - m + 1 if m else 0):
-                found.setdefault(m, {}).setdefault(words[i : i + m].tobytes(), set()).add(item_no[item])
+        self.items = sorted(set(items))
+        place = {i: n for n, i in enumerate(self.items)}
+        item_no = np.array([place[i] for i in items], np.int64)
+        first = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        size = np.minimum(lengths, window)
         self.by_length = []
-        for m, windows in sorted(found.items()):
-            owners = [sorted(s) for s in windows.values()]
-            first = np.concatenate([[0], np.cumsum([len(o) for o in owners])])
-            self.by_length.append((m, np.frombuffer(b"".join(windows), np.int32).reshape(-1, m), first, np.array([i for o in owners for i in o], np.int64)))
+        for m in np.unique(size[size > 0]).tolist():
+            chosen = np.flatnonzero(size == m)
+            which, start = expand(first[chosen], first[chosen] + lengths[chosen] - m + 1)
+            rows = np.ascontiguousarray(number[start[:, None] + np.arange(m)])
+            _, at, window_no = np.unique(rows.view(f"V{4 * m}").ravel(), return_index=True, return_inverse=True)
+            owned = np.unique(np.stack([window_no, item_no[chosen[which]]], axis=1), axis=0)
+            self.by_length.append((m, rows[at], np.searchsorted(owned[:, 0], np.arange(len(at) + 1)), owned[:, 1]))
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of words by hash; 0 for words that the benchmark does not have."""
@@ -206,40 +204,63 @@ _EMPTY = hashlib.sha256(b"").hexdigest()
 _ADDED = [("n_words", pa.int64(), T.LongType()), ("n_hit", pa.int64(), T.LongType()), ("n_items", pa.int64(), T.LongType()), ("items_sha256", pa.string(), T.StringType())]
 
 
-def _searcher(chunks: list, text: str, cut: bool):
+def _held(slices):
+    """Runs of text slices of about ``HELD_BYTES``."""
+    held, size = [], 0
+    for base, data, offsets in slices:
+        held.append((base, data, offsets))
+        size += len(data)
+        if size >= HELD_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _searcher(chunks: list, text: str, cut: bool, window: int):
     """The Arrow function: counts for every row; with ``cut``, hit words are cut from the text."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = Phrases(*chunks[0].value, window) if len(chunks) == 1 else None
+
+        def parts():
+            if only is not None:
+                yield only
+                return
+            for chunk in chunks:  # one part of the benchmark in memory at a time
+                yield Phrases(*chunk.value, window)
+                chunk.__dict__.pop("_value", None)
+
         for batch in batches:
             n_words, n_hit, n_items = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
             digests = [_EMPTY] * batch.num_rows
             texts: dict[int, str] = {}
             column = batch.column(batch.schema.get_field_index(text))
-            for base, data, offsets in text_slices(column, SHARD_BYTES):
-                starts, ends, rows = words_of(data, offsets, ALNUM_BYTES)
-                hashes = word_hashes(data, starts, ends, FOLDED)
-                size = len(offsets) - 1
-                n_words[base : base + size] = np.bincount(rows, minlength=size)
-                hit = np.zeros(len(rows), bool)
+            for held in _held(text_slices(column, SHARD_BYTES)):
+                shards = []
+                for _, data, offsets in held:
+                    starts, ends, rows = words_of(data, offsets, ALNUM_BYTES)
+                    shards.append((starts, ends, rows, word_hashes(data, starts, ends, FOLDED), np.zeros(len(rows), bool)))
                 items: dict[int, set[str]] = {}
-                for chunk in chunks:
-                    phrases = chunk.value
-                    mask, at, owner = search_shard(phrases.number(hashes), rows, phrases)
-                    hit |= mask
-                    for r, o in zip(at.tolist(), owner.tolist(), strict=True):
-                        items.setdefault(r, set()).add(phrases.items[o])
-                    if len(chunks) > 1:  # one part of the benchmark in memory at a time
-                        chunk.__dict__.pop("_value", None)
-                n_hit[base : base + size] = np.bincount(rows[hit], minlength=size)
+                for phrases in parts():
+                    for (base, _, _), (_, _, rows, hashes, hit) in zip(held, shards, strict=True):
+                        mask, at, owner = search_shard(phrases.number(hashes), rows, phrases)
+                        hit |= mask
+                        for r, o in zip(at.tolist(), owner.tolist(), strict=True):
+                            items.setdefault(base + r, set()).add(phrases.items[o])
                 for r, found in items.items():
-                    n_items[base + r] = len(found)
-                    digests[base + r] = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
-                if cut:
-                    raw = data.tobytes()
-                    bounds = np.searchsorted(rows, np.arange(size + 1))
-                    for r in items:
-                        a, b = bounds[r], bounds[r + 1]
-                        texts[base + r] = _cut(raw, int(offsets[r]), int(offsets[r + 1]), starts[a:b], ends[a:b], hit[a:b])
+                    n_items[r] = len(found)
+                    digests[r] = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+                for (base, data, offsets), (starts, ends, rows, _, hit) in zip(held, shards, strict=True):
+                    size = len(offsets) - 1
+                    n_words[base : base + size] = np.bincount(rows, minlength=size)
+                    n_hit[base : base + size] = np.bincount(rows[hit], minlength=size)
+                    if cut and hit.any():
+                        raw = data.tobytes()
+                        bounds = np.searchsorted(rows, np.arange(size + 1))
+                        for r in np.unique(rows[hit]).tolist():
+                            a, b = bounds[r], bounds[r + 1]
+                            texts[base + r] = _cut(raw, int(offsets[r]), int(offsets[r + 1]), starts[a:b], ends[a:b], hit[a:b])
             columns = list(batch.columns)
             if texts:
                 i = batch.schema.get_field_index(text)
@@ -261,23 +282,47 @@ def _cut(raw: bytes, first: int, last: int, starts: np.ndarray, ends: np.ndarray
     return b"".join(out).decode()
 
 
-def phrase_chunks(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW, limit: int = PHRASE_BYTES) -> list:
-    """Broadcasts of the benchmark's windows, each of at most about ``limit`` bytes of item text.
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, words): the hashes of each item's words; items without words are left out."""
+    for batch in batches:
+        for base, data, offsets in text_slices(batch.column(1)):
+            starts, ends, rows = words_of(data, offsets, ALNUM_BYTES)
+            hashes, bounds = word_hashes(data, starts, ends, FOLDED), np.searchsorted(rows, np.arange(len(offsets)))
+            packed = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(hashes.tobytes())])
+            out = pa.RecordBatch.from_arrays([batch.column(0).slice(base, len(offsets) - 1), packed], names=["item", "words"])
+            yield out.filter(pa.array(np.diff(bounds) > 0))
+
+
+def phrase_chunks(benchmark: DataFrame, item: str = "item_id", text: str = "text", limit: int = PHRASE_BYTES) -> list:
+    """Broadcasts of the benchmark's words, each of about ``limit`` bytes of item text at most.
 
-    The rows stream through the driver; one part is held at a time.  A larger benchmark makes more
-    broadcasts, which a task loads in turn, so memory does not grow with it.  Items with a null id
-    or a null text have no windows; rows that repeat an id are one item.
+    Executors hash the words and deal the items into as many partitions as there are parts; the
+    driver passes one part after the other on and keeps none, and windows are made where they are
+    searched.  A larger benchmark makes more broadcasts, which a task loads in turn, so no memory
+    grows with it.  Items with a null id or a null text have no windows; rows that repeat an id are
+    one item.
     """
-    context = benchmark.sparkSession.sparkContext
-    chunks, part, size = [], [], 0
-    for row in benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL").toLocalIterator():
-        part.append((row.i, row.t.encode()))
-        size += len(part[-1][1])
-        if size >= limit:
-            chunks.append(context.broadcast(Phrases(part, window)))
-            part, size = [], 0
-    if part or not chunks:
-        chunks.append(context.broadcast(Phrases(part, window)))
+    spark = benchmark.sparkSession
+    known = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
+    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = known.mapInArrow(_packed, "item string, words binary").repartition(max(1, -(-size // limit)), "item")
+    chunks, items, words, held = [], [], [], 0
+
+    def close():
+        lengths = np.array([len(w) // 8 for w in words], np.int64)
+        chunks.append(spark.sparkContext.broadcast((list(items), lengths, np.frombuffer(b"".join(words), np.uint64))))
+
+    for row in dealt.toLocalIterator():
+        if items and held + len(row.words) > 2 * limit:  # a word takes 8 bytes here, about 6 in a text
+            close()
+            items, words, held = [], [], 0
+        items.append(row.item)
+        words.append(bytes(row.words))
+        held += len(row.words)
+    if items or not chunks:
+        close()
+    for chunk in chunks:
+        chunk.__dict__.pop("_value", None)  # written for the executors; the driver keeps no copy
     return chunks
 
 
@@ -292,5 +337,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", cut
     """
     docs = docs.drop(*(n for n, _, _ in _ADDED), "contaminated")
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, _, t in _ADDED)])
-    found = docs.mapInArrow(_searcher(phrase_chunks(benchmark, window=window, limit=limit), text, cut), schema)
+    found = docs.mapInArrow(_searcher(phrase_chunks(benchmark, limit=limit), text, cut, window), schema)
     return found.withColumn("contaminated", F.col("n_items") >= min_items)
