@@ -218,14 +218,75 @@ def test_held_out_accuracy(spark):
     assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows)
 
 
-def test_quality_separates_and_shrinks(spark):
+def test_quality_on_held_out_labels(spark):
+    from docweave.llm import quality
+
     folder = "/root/testdata/sf0.01"
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
-    rows = llm.op2_quality_bayes(spark, folder).collect()
-    right = [r.keep == bool(labels[r.doc_id]) for r in rows if r.doc_id in labels]
-    assert sum(right) >= 0.95 * len(right)
-    for r in rows:
-        assert 0 <= r.path_posterior <= 1 and 0 <= r.score <= 1
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    seen = quality.train(docs, labels.filter("crc32(cast(doc_id AS string)) % 4 <> 2"))
+    truth = {r.doc_id: r.quality for r in labels.filter("crc32(cast(doc_id AS string)) % 4 = 2").collect()}
+    rows = quality.quality(docs.select("doc_id", "source", "lang", "text"), seen).collect()
+    right = [r.keep == bool(truth[r.doc_id]) for r in rows if r.doc_id in truth]
+    assert len(right) > 50 and sum(right) >= 0.95 * len(right)
+
+
+def brute_posteriors(rows):
+    """(host, path) -> posteriors, in plain Python, from (host, path, p)."""
+    from collections import defaultdict
+
+    def strength(groups, mean):
+        n, k = sum(len(g) for g in groups.values()), len(groups)
+        inner = sum(sum(p * p for p in g) - sum(g) ** 2 / len(g) for g in groups.values())
+        outer = sum(len(g) * (sum(g) / len(g) - mean[key]) ** 2 for key, g in groups.items())
+        c = n - sum(len(g) ** 2 for g in groups.values()) / n
+        within = inner / max(n - k, 1)
+        between = (outer - (k - 1) * within) / max(c, 1.0)
+        return min(max(within / max(between, 1e-9), 1.0), 1e6)
+
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for host, path, p in rows:
+        hosts[host].append(p)
+        paths[host, path].append(p)
+    mean = sum(p for *_, p in rows) / len(rows)
+    kappa = strength(hosts, dict.fromkeys(hosts, mean))
+    host_posterior = {h: (kappa * mean + sum(g)) / (kappa + len(g)) for h, g in hosts.items()}
+    kappa = strength(paths, {k: host_posterior[k[0]] for k in paths})
+    return {k: (host_posterior[k[0]], (kappa * host_posterior[k[0]] + sum(g)) / (kappa + len(g))) for k, g in paths.items()}
+
+
+def test_posteriors_by_brute_force_and_shrinkage(spark):
+    import random
+
+    from docweave.llm import quality
+
+    r = random.Random(6)
+    rows = [(h, p, min(1.0, max(0.0, r.gauss(0.2 + 0.06 * int(h[1:]) + 0.1 * (p == "a"), 0.1)))) for h in (f"h{i}" for i in range(8)) for p in ("a", "b", None) for _ in range(r.randint(1, 60))]
+    rows += [(None, "a", 0.9), ("sparse", "a", 0.99), *(("dense", "a", 0.99) for _ in range(300))]
+    got = {(x.host, x.path): x for x in quality.posteriors(spark.createDataFrame(rows, "s string, l string, p_doc double").repartition(4), "s", "l").collect()}
+    want = brute_posteriors(rows)
+    assert set(got) == set(want)
+    for key, (host, path) in want.items():
+        assert got[key].host_posterior == pytest.approx(host, rel=1e-6) and got[key].path_posterior == pytest.approx(path, rel=1e-6)
+    mean = sum(p for *_, p in rows) / len(rows)
+    assert mean < got["sparse", "a"].path_posterior < got["dense", "a"].path_posterior < 0.99
+
+
+def test_quality_of_awkward_rows(spark, edge_dir, clashing):
+    from docweave.llm import quality
+
+    labels = spark.read.parquet(f"{edge_dir}/labels.parquet")
+    rows = quality.quality(clashing, quality.train(clashing, labels)).collect()
+    assert len(rows) == clashing.count() and all(0 <= r.score <= 1 and r._h == r._m == "held" for r in rows)
+    assert {r.keep for r in rows} <= {True, False}
+
+
+def test_hosts_and_paths_of_urls(spark):
+    from docweave.llm.quality import host_of, path_of
+
+    urls = ["https://A.org:80/en/x/y.html?q=/z", "http://u@b.net", "c.de/x", None, "ftp://d.io/f.txt"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    got = [tuple(r) for r in df.select(host_of(df.u), path_of(df.u), path_of(df.u, 2)).collect()]
+    assert got == [("a.org", "/en/", "/en/x/"), ("b.net", "/", "/"), (None, None, None), (None, None, None), ("d.io", "/", "/")]
 
 
 def test_fixity_finds_planted_faults(spark):
@@ -285,6 +346,104 @@ def test_mix_meets_targets(spark, edge_docs):
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
+@pytest.mark.parametrize("name", ["licences", "copies", "secrets", "lines", "fixity"])
+def test_clashing_columns(name, spark, clashing):
+    """Extra columns stay as they are, unless the operator adds one of that name."""
+    from docweave.llm import exact_dedup, fixity, license_scan, line_dedup, secret_scan
+
+    if name == "fixity":
+        out = fixity.audit(clashing, clashing, "doc_id", "source", "text")
+        assert {r.status for r in out.collect()} == {"ok"}
+        return
+    if name == "copies":
+        out = exact_dedup.exact_dedup(clashing.withColumn("d", exact_dedup.content_digest(F.col("text"))), "d")
+    else:
+        out = {"licences": license_scan.scan, "lines": line_dedup.drop_boilerplate, "secrets": lambda d: secret_scan.scan(d, secret_scan.train(d))}[name](clashing)
+    assert {c.lower() for c in clashing.columns} <= {c.lower() for c in out.columns} and len(out.columns) == len(set(out.columns))
+    assert {r.rest for r in out.select("rest").collect()} == {"held"} and out.count() == clashing.count()
+
+
+def test_secret_scan_is_linear_in_a_text():
+    import time
+
+    from docweave.llm import secret_scan as s
+
+    models = s.MarkovPair(*(__import__("numpy").zeros((s._EDGE + 1) ** 2) for _ in range(2)))
+    text = " ".join(f"{'0123456789abcdef' * 2} name_of_a_long_identifier{i}" for i in range(20_000))
+    start = time.perf_counter()
+    base, added = s.find_spans(text, text.encode().lower(), models)
+    assert len(base) == 20_000 and not added and time.perf_counter() - start < 20
+    assert len(s.labelled_tokens(text)[0]) == 20_000
+
+
+def test_ftrl_step_against_a_plain_loop():
+    import numpy as np
+
+    from docweave.llm import language_id as g
+
+    r = np.random.default_rng(5)
+    rows = [(np.sort(r.choice(40, 6, replace=False)), r.random(6), int(r.integers(3))) for _ in range(30)]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.02
+    z, n = {}, {}
+
+    def weight(i, k):
+        x = z.get((i, k), 0.0)
+        return 0.0 if abs(x) <= l1 else (np.sign(x) * l1 - x) / ((beta + n.get((i, k), 0.0) ** 0.5) / alpha + l2)
+
+    order = np.random.Generator(np.random.PCG64(7))
+    for _ in range(2):
+        for row in order.permutation(len(rows)):
+            features, values, label = rows[row]
+            at = [*zip(features.tolist(), values.tolist()), (g.FEATURES, 1.0)]
+            held = {(i, k): weight(i, k) for i, _ in at for k in range(3)}
+            scores = [sum(held[i, k] * v for i, v in at) for k in range(3)]
+            e = [np.exp(x - max(scores)) for x in scores]
+            for i, v in at:
+                for k in range(3):
+                    step = (e[k] / sum(e) - (k == label)) * v
+                    old = n.get((i, k), 0.0)
+                    z[i, k] = z.get((i, k), 0.0) + step - ((old + step * step) ** 0.5 - old**0.5) / alpha * held[i, k]
+                    n[i, k] = old + step * step
+    got = g.fit_ftrl(rows, 3, epochs=2, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    assert all(got[i, k] == pytest.approx(weight(i, k), abs=1e-9) for i in [*range(40), g.FEATURES] for k in range(3))
+
+
+def test_index_reuses_rows_and_hands_on():
+    from docweave.llm import exact_dedup as e
+
+    index, key = e.CuckooIndex(2), hashlib.sha256(b"x").digest()
+    for i in range(5_000):
+        index.merge(key, i, 1)
+    assert len(index.keys) == 1 and list(index.items()) == [(key, 4_999, 5_000)]
+
+
+def test_copies_in_small_partitions(spark, monkeypatch):
+    from docweave.llm import exact_dedup as e
+
+    monkeypatch.setattr(e, "FOLD_KEYS", 3)
+    monkeypatch.setattr(e, "PARTITION_ROWS", 10)
+    docs = spark.createDataFrame([(i, f"t{i % 37}" if i % 3 else "hot") for i in range(300)], "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in e.dedup_documents(docs).collect()}
+    groups: dict[str, list[int]] = {}
+    for i in range(300):
+        groups.setdefault(f"t{i % 37}" if i % 3 else "hot", []).append(i)
+    assert got == {i: (max(g), len(g)) for g in groups.values() for i in g}
+
+
+def test_slices_follow_the_rows(spark):
+    from docweave.llm import mixing
+
+    assert [mixing.slice_digits(n) for n in (0, 1, 50_000, 300_000, 50_000_000_000)] == [2, 2, 2, 3, 5]
+
+
+def test_lines_of_small_hosts(spark):
+    from docweave.llm import line_dedup
+
+    docs = spark.createDataFrame([(1, "a", "menu\none"), (2, "a", " MENU \ntwo\n\ntwo"), (3, "b", "alone\nlines"), (4, None, "menu\nx"), (5, None, "menu\ny")], "doc_id long, source string, text string")
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_boilerplate(docs).collect()}
+    assert got == {1: ("one", 2, 1), 2: ("two\n\ntwo", 4, 1), 3: ("alone\nlines", 2, 0), 4: ("x", 2, 1), 5: ("y", 2, 1)}
+
+
 def test_cuckoo_index():
     from docweave.llm.exact_dedup import CuckooIndex
 
