@@ -23,42 +23,56 @@ def mapping_fold(events: DataFrame, *order: str) -> DataFrame:
     return events.groupBy("symbol_id", "doc_id", "rel_type").agg(F.coalesce(F.min_by("review_status", decided), F.lit("auto")).alias("review_status"))
 
 
+def _merged(state: DataFrame, batch: DataFrame, kept: dict[str, Column]) -> DataFrame:
+    """Full outer join on id: the batch's values win, except for ``kept`` (column -> value); columns of ``state``.
+
+    Where ``batch`` lacks a column of ``state`` (or has none such), the stored value stays.
+    """
+    s, b = state.alias("s"), batch.alias("b")
+    new = F.col("b.id").isNotNull()
+    value = lambda c: kept.get(c, F.when(new, F.col(f"b.{c}")).otherwise(F.col(f"s.{c}")) if c in batch.columns else F.col(f"s.{c}"))
+    return s.join(b, F.col("s.id") == F.col("b.id"), "full_outer").select(F.coalesce("s.id", "b.id").alias("id"), *(value(c).alias(c) for c in state.columns if c != "id"))
+
+
 def upsert_symbols(state: DataFrame, batch: DataFrame) -> DataFrame:
     """Symbols after a batch: new values win, created_at stays, unknown kinds become ``unknown``.
 
-    Both sides have id, name, kind, project, location, signature, raw_signature, created_at.
+    Rows that the batch does not name keep all their values, metadata and updated_at too.
     """
-    columns = ["name", "kind", "project", "location", "signature", "raw_signature"]
-    s, b = state.alias("s"), batch.filter("id <> '' AND name <> ''").withColumn("kind", kind_map(F.col("kind"))).alias("b")
-    new = F.col("b.id").isNotNull()
-    return s.join(b, F.col("s.id") == F.col("b.id"), "full_outer").select(
-        F.coalesce("s.id", "b.id").alias("id"), *(F.when(new, F.col(f"b.{c}")).otherwise(F.col(f"s.{c}")).alias(c) for c in columns), F.coalesce("s.created_at", "b.created_at").alias("created_at")
-    )
+    named = batch.filter("id <> '' AND name <> ''").withColumn("kind", kind_map(F.col("kind")))
+    return _merged(state, named, {"created_at": F.coalesce("s.created_at", "b.created_at")})
 
 
 def upsert_sections(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """Sections after a batch: new hash and type win; a stale or draft status survives."""
-    s, b = state.alias("s"), batch.alias("b")
+    """Sections after a batch: new hash and type win; a stale or draft status survives, as does created_at."""
     new = F.col("b.id").isNotNull()
-    status = F.when(~new | F.col("s.status").isin("stale", "draft"), F.col("s.status")).otherwise(F.col("b.status"))
-    return s.join(b, F.col("s.id") == F.col("b.id"), "full_outer").select(
-        F.coalesce("s.id", "b.id").alias("id"),
-        *(F.when(new, F.col(f"b.{c}")).otherwise(F.col(f"s.{c}")).alias(c) for c in ("file", "anchor", "content_hash", "doc_type")),
-        status.alias("status"),
-    )
+    kept = {"status": F.when(~new | F.col("s.status").isin("stale", "draft"), F.col("s.status")).otherwise(F.col("b.status"))}
+    if "created_at" in batch.columns and "created_at" in state.columns:
+        kept["created_at"] = F.coalesce("s.created_at", "b.created_at")
+    return _merged(state, batch, kept)
 
 
 def insert_absent(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """Mappings and those of the batch whose key is not there yet."""
+    """Mappings and those of the batch whose key is not there yet; created_at is each one's own, if both have it."""
     key = ["symbol_id", "doc_id", "rel_type"]
-    return state.select(*key, "review_status").unionByName(batch.dropDuplicates(key).join(state.select(*key), key, "left_anti").select(*key, "review_status"))
+    columns = [*key, "review_status", *(c for c in ("created_at",) if c in state.columns and c in batch.columns)]
+    return state.select(*columns).unionByName(batch.dropDuplicates(key).join(state.select(*key), key, "left_anti").select(*columns))
+
+
+def upsert_metadata(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """Key-value rows after a batch of (key, value, updated_at): the batch's latest value of a key wins."""
+    last = batch.groupBy("key").agg(F.max_by("value", F.struct("updated_at", "value")).alias("value"), F.max("updated_at").alias("updated_at"))
+    return state.join(last.select("key"), "key", "left_anti").select("key", "value", "updated_at").unionByName(last)
 
 
 def symbol_dedup(extracted: DataFrame) -> DataFrame:
     """Extracted symbols without exact duplicates: same file, name and signature (the kind is no part
-    of the key); the first by line, then by extraction order, stays."""
+    of the key); the first by line, then by extraction order, stays.  A definition without signature
+    goes where the file has one of its name with a signature."""
     order = Window.partitionBy("file", "name", "raw_signature").orderBy("line", "kind")
-    return extracted.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    signed = F.max(F.coalesce(F.length("raw_signature"), F.lit(0)) > 0).over(Window.partitionBy("file", "name"))
+    first = extracted.withColumns({"_n": F.row_number().over(order), "_signed": signed}).filter("_n = 1")
+    return first.filter((F.coalesce(F.length("raw_signature"), F.lit(0)) > 0) | ~F.col("_signed")).drop("_n", "_signed")
 
 
 def symbol_ids(extracted: DataFrame, lang: Column) -> DataFrame:
@@ -118,17 +132,38 @@ def inline_sections(symbols: DataFrame, state: State) -> DataFrame:
     return joined.select(F.col("id").alias("symbol_id"), F.concat(F.lit("inline:"), F.col("name")).alias("anchor"), F.when(documented, F.sha2("docstring", 256)).alias("content_hash"), action.alias("action")).filter("action IS NOT NULL")
 
 
-def gc_plan(state: State, scanned: DataFrame, marker: str = "__stale__") -> DataFrame:
+#: Signature of a change that marks a symbol as missing once.
+MISSING = "__stale__"
+
+
+def gc_plan(state: State, scanned: DataFrame, marker: str = MISSING) -> DataFrame:
     """(symbol_id, action) of symbols that the scan missed: the first miss marks, a later one deletes.
 
-    A mark is a ``deleted`` change whose new signature is ``marker``; it is never cleared.
+    A mark is a ``deleted`` change whose old signature is ``marker``; it is never cleared.
     """
     missing = state.symbols.select("id").join(scanned.select("id"), "id", "left_anti")
-    marked = state.changelog.filter((F.col("change_type") == "deleted") & (F.col("new_sig") == marker)).select(F.col("symbol_id").alias("_m")).distinct()
+    marked = state.changelog.filter((F.col("change_type") == "deleted") & (F.col("old_sig") == marker)).select(F.col("symbol_id").alias("_m")).distinct()
     joined = missing.join(marked, F.col("id") == F.col("_m"), "left")
     return joined.select(F.col("id").alias("symbol_id"), F.when(F.col("_m").isNotNull(), "delete").otherwise("mark").alias("action"))
 
 
+def gc_log(state: State, marks: DataFrame, timestamp: Column, marker: str = MISSING) -> DataFrame:
+    """Changelog rows of ``marks`` (symbol_id): the marker in both signatures, the sections that go stale with it."""
+    affected = change_cascade(state, marks).withColumn("affected_docs", listed(F.col("affected_docs")))
+    return affected.select(timestamp.alias("timestamp"), "symbol_id", F.lit("deleted").alias("change_type"), F.lit(marker).alias("old_sig"), F.lit(marker).alias("new_sig"), "affected_docs", F.lit("pending").alias("sync_status"))
+
+
+def listed(text: Column) -> Column:
+    """The array that a comma-joined text holds."""
+    return F.filter(F.split(text, ","), lambda x: x != "")
+
+
+def numbered(log: DataFrame, after: DataFrame) -> DataFrame:
+    """Changelog rows with distinct ids above those of ``after``; no order is implied, so no task holds all rows."""
+    top = after.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))  # one row
+    return log.crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + 1 + F.monotonically_increasing_id()).select(*after.columns)
+
+
 def cascade_delete(state: State, symbols: DataFrame | None = None, sections: DataFrame | None = None) -> State:
     """The state without some symbols and sections (each has id) and all that refers to them."""
     new = state
@@ -143,17 +178,29 @@ def cascade_delete(state: State, symbols: DataFrame | None = None, sections: Dat
     return new
 
 
-def cleanup_orphans(state: State, files: DataFrame, as_of: str, days: int = 30) -> DataFrame:
-    """One row: sections whose file is not in ``files`` (file), links that go with them, old rejected links."""
+def orphans(state: State, files: DataFrame, as_of: str, days: int = 30) -> tuple[DataFrame, DataFrame]:
+    """(sections whose file is not in ``files``, rejected links of at least ``days`` days before ``as_of``)."""
     gone = state.doc_sections.join(files.select("file").distinct(), "file", "left_anti").select("id")
-    cascade = state.mappings.join(gone.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    kept = state.mappings.join(gone.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
     limit = F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days))
-    old = kept.filter((F.col("review_status") == "rejected") & (F.col("created_at") <= limit))
+    return gone, state.mappings.filter((F.col("review_status") == "rejected") & (F.col("created_at") <= limit))
+
+
+def cleanup_orphans(state: State, files: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+    """One row: sections whose file is not in ``files`` (file), links that go with them, old rejected links."""
+    gone, old = orphans(state, files, as_of, days)
+    doc = gone.select(F.col("id").alias("doc_id"))
+    cascade, old = state.mappings.join(doc, "doc_id", "left_semi"), old.join(doc, "doc_id", "left_anti")
     rows = [df.agg(F.count("*").alias(n)) for df, n in ((gone, "removed_sections"), (cascade, "cascaded_mappings"), (old, "purged_rejected"))]
     return rows[0].crossJoin(rows[1]).crossJoin(rows[2])  # three single rows
 
 
+def without_orphans(state: State, files: DataFrame, as_of: str, days: int = 30) -> State:
+    """The state after a clean-up: what ``cleanup_orphans`` counts is gone."""
+    gone, old = orphans(state, files, as_of, days)
+    kept = state.mappings.join(old.select("symbol_id", "doc_id", "rel_type"), ["symbol_id", "doc_id", "rel_type"], "left_anti").select(*state.mappings.columns)
+    return cascade_delete(state.with_(mappings=kept), sections=gone)
+
+
 def link_validate(state: State, commands: DataFrame) -> DataFrame:
     """Commands (symbol_id, doc_id, rel_type, review_status) with their outcome: ok or what is wrong."""
     s, d = state.symbols.select(F.col("id").alias("_s")), state.doc_sections.select(F.col("id").alias("_d"))

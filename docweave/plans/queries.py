@@ -265,7 +265,7 @@ def inline_sections(b: Bound) -> DataFrame:
 
 
 def _marked(b: Bound):
-    return b.state.with_(changelog=b.changelog.withColumn("new_sig", F.when(F.col("change_type") == "deleted", "__stale__").otherwise(F.col("new_sig"))))
+    return b.state.with_(changelog=b.changelog.withColumn("old_sig", F.when(F.col("change_type") == "deleted", state.MISSING).otherwise(F.col("old_sig"))))
 
 
 @query(f"""WITH {SCANNED} SELECT id AS symbol_id, CASE WHEN id IN (SELECT symbol_id FROM changelog WHERE change_type = 'deleted') THEN 'delete' ELSE 'mark' END AS action
@@ -294,14 +294,14 @@ def cleanup_orphans(b: Bound) -> DataFrame:
     return state.cleanup_orphans(b.state.with_(doc_sections=unique), unique.filter("src_key % 7 <> 0"), AS_OF)
 
 
-def _commands(b: Bound, which: str = "l_quantity = 17") -> DataFrame:
-    ok = b.map0.select("symbol_id", "doc_id", "rel_type", "review_status", "l_linenumber", "l_quantity").filter(which)
+def _commands(b: Bound) -> DataFrame:
+    ok = b.map0.select("symbol_id", "doc_id", "rel_type", "review_status", "l_linenumber")
     bad = lambda c, k, v: F.when(F.col("l_linenumber") == k, v).otherwise(F.col(c)).alias(c)
     return ok.select(bad("symbol_id", 1, "?"), bad("doc_id", 2, "?"), bad("rel_type", 3, "mentions"), bad("review_status", 4, "maybe"))
 
 
 VALIDATED = """WITH c AS (SELECT CASE WHEN l_linenumber = 1 THEN '?' ELSE symbol_id END AS symbol_id, CASE WHEN l_linenumber = 2 THEN '?' ELSE doc_id END AS doc_id,
-CASE WHEN l_linenumber = 3 THEN 'mentions' ELSE rel_type END AS rel_type, CASE WHEN l_linenumber = 4 THEN 'maybe' ELSE review_status END AS review_status FROM map0 WHERE l_quantity = 17)
+CASE WHEN l_linenumber = 3 THEN 'mentions' ELSE rel_type END AS rel_type, CASE WHEN l_linenumber = 4 THEN 'maybe' ELSE review_status END AS review_status FROM map0)
 SELECT *, CASE WHEN rel_type = 'mentions' THEN 'invalid rel_type' WHEN review_status = 'maybe' THEN 'invalid review_status' WHEN symbol_id = '?' THEN 'symbol not found' WHEN doc_id = '?' THEN 'section not found' ELSE 'ok' END AS outcome FROM c"""
 
 
@@ -310,11 +310,6 @@ def link_validate(b: Bound) -> DataFrame:
     return state.link_validate(b.state, _commands(b))
 
 
-@query(VALIDATED.replace(" WHERE l_quantity = 17", ""))
-def link_validate_all(b: Bound) -> DataFrame:
-    return state.link_validate(b.state, _commands(b, "true"))
-
-
 @query("SELECT symbol_id, doc_id, rel_type, CASE WHEN review_status = 'auto' THEN 'confirmed' ELSE review_status END AS review_status FROM mappings")
 def bulk_review(b: Bound) -> DataFrame:
     return state.bulk_review(b.mappings, "confirmed").drop("created_at")
@@ -328,10 +323,10 @@ def sync_plan(b: Bound) -> DataFrame:
     return state.sync_plan(b.state, reports.stale_symbols(b.state))
 
 
-@query("""WITH r AS (SELECT symbol_id, bool_and(l_quantity < 45) AS ok FROM map0 WHERE l_quantity > 25 GROUP BY symbol_id)
+@query("""WITH r AS (SELECT symbol_id, bool_and(l_quantity < 50) AS ok FROM map0 GROUP BY symbol_id)
 SELECT id, c.symbol_id, CASE WHEN sync_status = 'pending' AND ok IS NOT NULL THEN CASE WHEN ok THEN 'applied' ELSE 'failed' END ELSE sync_status END AS sync_status FROM changelog c LEFT JOIN r ON c.symbol_id = r.symbol_id""")
 def sync_finalize(b: Bound) -> DataFrame:
-    results = b.map0.filter("l_quantity > 25").select("symbol_id", (F.col("l_quantity") < 45).alias("ok"))
+    results = b.map0.select("symbol_id", (F.col("l_quantity") < 50).alias("ok"))
     return state.sync_finalize(b.changelog, results).select("id", "symbol_id", "sync_status")
 
 
@@ -401,12 +396,14 @@ def occurrence_count(b: Bound) -> DataFrame:
 STOP = "', '".join(sorted(parsers.STOPWORDS))
 
 
-@query(f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', '-', 'g'), '[A-Za-z0-9_]+(?:\\.[A-Za-z0-9_]+)*')) AS word FROM documents)
-SELECT doc_id, word, count(*) AS n FROM w WHERE NOT contains(word, '.') AND regexp_matches(word, '^_?[A-Za-z][A-Za-z0-9_]*$') AND lower(word) NOT IN ('{STOP}') AND (regexp_matches(word, '[A-Z_]') OR len(word) >= 4) GROUP BY ALL""")
+# A chain a.b.c is read in pairs: a part that begins with a letter takes the next one with it.
+@query(f"""WITH c AS (SELECT doc_id, string_split(unnest(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', '-', 'g'), '[A-Za-z0-9_]+(?:\\.[A-Za-z0-9_]+)*')), '.') AS parts FROM documents),
+r AS (SELECT doc_id, list_reduce(list_prepend('', parts), lambda acc, x: CASE WHEN suffix(acc, '~') THEN acc[:-2] || '.' || x || ' ' WHEN regexp_matches(x, '^[A-Za-z]') THEN acc || x || '~' ELSE acc || x || ' ' END) AS t FROM c),
+w AS (SELECT doc_id, unnest(string_split(replace(t, '~', ' '), ' ')) AS word FROM r)
+SELECT doc_id, word, count(*) AS n FROM w WHERE lower(word) NOT IN ('{STOP}') AND CASE WHEN contains(word, '.') THEN regexp_matches(word, '^[A-Za-z][A-Za-z0-9_]*[.][A-Za-z][A-Za-z0-9_]*$')
+ELSE regexp_matches(word, '^_?[A-Za-z][A-Za-z0-9_]*$') AND (regexp_matches(word, '[A-Z_]') OR len(word) >= 4) END GROUP BY ALL""")
 def refs_bodytext(b: Bound) -> DataFrame:
-    # Characters beyond ASCII are no word characters here; dotted names are left to the fixtures.
-    texts = b.table("documents").select("doc_id", F.regexp_replace("text", r"[A-Za-z0-9_]+(\.[A-Za-z0-9_]+)+", "-").alias("text"))
-    return parsers.bodytext_words(texts, "doc_id", "text")
+    return parsers.bodytext_words(b.table("documents"), "doc_id", "text")
 
 
 @query("""WITH p AS (SELECT page_id, string_split(regexp_replace(html, '<[hH]([1-6])[^>]*>(.+?)</[hH][1-6]>', chr(1) || '\\2' || chr(2), 'g'), chr(1)) AS parts FROM pages),
@@ -449,62 +446,49 @@ def sig_pairs(b: Bound) -> DataFrame:
 
 
 # ---- linking -------------------------------------------------------------------
-# Symbols: distinct words of ten letters and more in the benchmark; sections: documents.  The queries
-# that end in _all take words of six letters and more, and conversations as sections too.
+# Symbols: distinct words of six letters and more in the benchmark; sections: documents and conversations.
 
 
-def _link_inputs(b: Bound, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    found = F.regexp_extract_all(F.lower("text"), F.lit(f"([a-z]{{{6 if whole else 10},}})"), F.lit(1))
+def _link_inputs(b: Bound) -> tuple[DataFrame, DataFrame]:
+    found = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{6,})"), F.lit(1))
     word = b.table("benchmark").select("item_id", F.explode(found).alias("name"))
     symbols = word.groupBy("name").agg(F.min("item_id").alias("item")).select(F.sha2("name", 256).alias("symbol_id"), "name", F.concat(F.lit("src/"), (F.col("item") % 7).cast("string"), F.lit(".sql:1")).alias("location"))
     first = F.regexp_extract("text", "^([A-Za-z]+( [A-Za-z]+){1,5})", 1)
     section = lambda df, doc_id, key: df.select(doc_id.alias("doc_id"), F.concat(F.lit("docs/"), (F.col(key) % 7).cast("string"), F.lit(".md")).alias("file"), first.alias("anchor"), F.col("text").alias("content"))
     sections = section(b.table("documents"), F.col("doc_id").cast("string"), "doc_id")
-    if whole:
-        turn = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))
-        sections = sections.unionByName(section(b.table("conversations"), turn, "conv_id"))
-    return symbols, sections
+    turn = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))
+    return symbols, sections.unionByName(section(b.table("conversations"), turn, "conv_id"))
 
 
-LINKED = """words AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{10,}')) AS name, item_id FROM benchmark),
+LINKED = """words AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS name, item_id FROM benchmark),
 sy AS (SELECT sha256(name) AS symbol_id, name, 'src/' || (min(item_id) % 7) || '.sql:1' AS location, CAST(min(item_id) % 7 AS VARCHAR) AS stem FROM words GROUP BY name),
-se AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, regexp_extract(text, '^([A-Za-z]+( [A-Za-z]+){1,5})', 1) AS anchor, text AS content, CAST(doc_id % 7 AS VARCHAR) AS stem FROM documents),
+se AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, regexp_extract(text, '^([A-Za-z]+( [A-Za-z]+){1,5})', 1) AS anchor, text AS content, CAST(doc_id % 7 AS VARCHAR) AS stem FROM documents
+  UNION ALL SELECT 'c' || conv_id || ':' || turn, regexp_extract(text, '^([A-Za-z]+( [A-Za-z]+){1,5})', 1), text, CAST(conv_id % 7 AS VARCHAR) FROM conversations),
 tok AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(content, '[A-Za-z0-9_]+'))) AS w FROM se),
 hw AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(anchor, '[A-Za-z0-9_]+'))) AS w FROM se)"""
 
 
-def _whole(sql: str) -> str:
-    """The same over words of six letters and more, and over conversations too."""
-    turns = "UNION ALL SELECT 'c' || conv_id || ':' || turn, regexp_extract(text, '^([A-Za-z]+( [A-Za-z]+){1,5})', 1), text, CAST(conv_id % 7 AS VARCHAR) FROM conversations"
-    return sql.replace("{10,}", "{6,}").replace("AS stem FROM documents)", f"AS stem FROM documents {turns})")
-
-
 IMPLIED = f"WITH {LINKED} SELECT symbol_id, doc_id FROM sy JOIN tok ON sy.name = tok.w JOIN se USING (doc_id) WHERE anchor <> ''"
 
 
-def _implied(b: Bound, whole: bool) -> DataFrame:
-    symbols, sections = _link_inputs(b, whole)
+def _implied(b: Bound) -> DataFrame:
+    symbols, sections = _link_inputs(b)
     nothing = symbols.select("symbol_id").withColumn("doc_id", F.lit("")).filter("false")
     return linking.review_implied(symbols, sections, nothing)
 
 
 @query(IMPLIED)
 def review_implied(b: Bound) -> DataFrame:
-    return _implied(b, False)
+    return _implied(b)
 
 
-@query(_whole(IMPLIED))
-def review_implied_all(b: Bound) -> DataFrame:
-    return _implied(b, True)
-
-
-def _refs(sections: DataFrame, whole: bool = False) -> DataFrame:
-    """Every word of ten (six) letters and more that is the second of its text's line counts as in backticks."""
-    found = F.regexp_extract_all("content", F.lit(f"(?m)^[A-Za-z]+ ([a-z]{{{6 if whole else 10},}})"), F.lit(1))
+def _refs(sections: DataFrame) -> DataFrame:
+    """Every word of six letters and more that is the second of its text's line counts as in backticks."""
+    found = F.regexp_extract_all("content", F.lit("(?m)^[A-Za-z]+ ([a-z]{6,})"), F.lit(1))
     return sections.select("doc_id", F.explode(F.array_distinct(found)).alias("ref"), F.lit("backtick").alias("ref_type"))
 
 
-REFS = "rf AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(content, '(?m)^[A-Za-z]+ ([a-z]{10,})', 1)) AS ref FROM se)"
+REFS = "rf AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(content, '(?m)^[A-Za-z]+ ([a-z]{6,})', 1)) AS ref FROM se)"
 PASS1 = f"""{LINKED}, {REFS}, p1 AS (SELECT symbol_id, doc_id, max(c) AS confidence FROM (SELECT symbol_id, doc_id, 1.0::DOUBLE AS c FROM sy JOIN hw ON sy.name = hw.w
 UNION ALL SELECT symbol_id, doc_id, 0.9::DOUBLE FROM sy JOIN rf ON sy.name = rf.ref) GROUP BY ALL)"""
 
@@ -515,12 +499,6 @@ def autolink_pass1(b: Bound) -> DataFrame:
     return linking.autolink_pass1(symbols, sections, _refs(sections))
 
 
-@query(_whole(f"WITH {PASS1} SELECT * FROM p1"))
-def autolink_pass1_all(b: Bound) -> DataFrame:
-    symbols, sections = _link_inputs(b, whole=True)
-    return linking.autolink_pass1(symbols, sections, _refs(sections, whole=True))
-
-
 PASS2 = f"""{PASS1}, n AS (SELECT *, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS a FROM sy WHERE symbol_id NOT IN (SELECT symbol_id FROM p1)),
 h AS (SELECT *, regexp_replace(lower(anchor), '[^a-z0-9]', '', 'g') AS b FROM se WHERE anchor <> ''),
 x AS (SELECT symbol_id, doc_id, n.stem = h.stem AS same, contains(lower(anchor), name) AS sub, a, b, least(len(a), len(b)) AS m FROM n, h),
@@ -529,64 +507,49 @@ f AS (SELECT symbol_id, doc_id, same, sub, contains(b, a) OR contains(a, b) OR (
 p2 AS (SELECT symbol_id, doc_id, round(CASE WHEN sub THEN 0.7::DOUBLE ELSE 0.6::DOUBLE END + CASE WHEN same THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END, 6) AS confidence FROM f WHERE sub OR fuzzy)"""
 
 
-def _pass2(b: Bound, whole: bool) -> DataFrame:
-    symbols, sections = _link_inputs(b, whole)
-    refs = _refs(sections, whole)
+def _pass2(b: Bound) -> DataFrame:
+    symbols, sections = _link_inputs(b)
+    refs = _refs(sections)
     return linking.autolink_pass2(symbols, sections, refs, linking.autolink_pass1(symbols, sections, refs))
 
 
 @query(f"WITH {PASS2} SELECT * FROM p2")
 def autolink_pass2(b: Bound) -> DataFrame:
-    return _pass2(b, False)
-
-
-@query(_whole(f"WITH {PASS2} SELECT * FROM p2"))
-def autolink_pass2_all(b: Bound) -> DataFrame:
-    return _pass2(b, True)
+    return _pass2(b)
 
 
 SUMMARY = f"""WITH {PASS2}, l AS (SELECT confidence AS c FROM p1 UNION ALL SELECT confidence FROM p2)
 SELECT count(*) FILTER (WHERE c >= 0.8) AS high, count(*) FILTER (WHERE c >= 0.5 AND c < 0.8) AS medium, count(*) FILTER (WHERE c < 0.5) AS low, count(*) AS total FROM l"""
 
 
-def _summary(b: Bound, whole: bool) -> DataFrame:
-    symbols, sections = _link_inputs(b, whole)
+def _summary(b: Bound) -> DataFrame:
+    symbols, sections = _link_inputs(b)
     nothing = symbols.select("symbol_id").withColumns({"doc_id": F.lit(""), "rel_type": F.lit("describes")}).filter("false")
-    return linking.autolink_summary(linking.autolink(symbols, sections, _refs(sections, whole), nothing))
+    return linking.autolink_summary(linking.autolink(symbols, sections, _refs(sections), nothing))
 
 
 @query(SUMMARY)
 def autolink_summary(b: Bound) -> DataFrame:
-    return _summary(b, False)
+    return _summary(b)
 
 
-@query(_whole(SUMMARY))
-def autolink_summary_all(b: Bound) -> DataFrame:
-    return _summary(b, True)
-
-
-INGESTED = """WITH r AS (SELECT o.o_orderkey AS doc_id, s.name AS ref, 'brand_' || CAST(11 + o.o_custkey % 15 AS VARCHAR) AS d FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN symbols s ON s.src_key = l.l_partkey WHERE l.l_quantity >= 45),
+INGESTED = """WITH r AS (SELECT o.o_orderkey AS doc_id, s.name AS ref, 'brand_' || CAST(11 + o.o_custkey % 15 AS VARCHAR) AS d FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN symbols s ON s.src_key = l.l_partkey),
 c AS (SELECT DISTINCT r.doc_id, r.ref, s.id AS symbol_id, regexp_replace(regexp_replace(s.file, '^.*/', ''), '[.][^.]*$', '') = r.d AS same FROM (SELECT DISTINCT doc_id, ref, d FROM r) r JOIN symbols s ON s.name = r.ref),
 n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, ref) AS n, count(*) FILTER (WHERE same) OVER (PARTITION BY doc_id, ref) AS k FROM c)
 SELECT CAST(doc_id AS VARCHAR) AS doc_id, ref, symbol_id FROM n WHERE n = 1 OR (same AND k = 1)"""
 
 
-def _ingested(b: Bound, which: str) -> DataFrame:
+def _ingested(b: Bound) -> DataFrame:
     symbols = b.symbols.select(F.col("id").alias("symbol_id"), "name", "location", "src_key")
     orders = b.table("orders").select(F.col("o_orderkey").cast("string").alias("doc_id"), F.concat(F.lit("docs/brand_"), (11 + F.col("o_custkey") % 15).cast("string"), F.lit(".md")).alias("file"), "o_orderkey")
-    lines = b.table("lineitem").filter(which).select("l_orderkey", "l_partkey")
+    lines = b.table("lineitem").select("l_orderkey", "l_partkey")
     refs = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(symbols, lines["l_partkey"] == symbols["src_key"]).select("doc_id", F.col("name").alias("ref"))
     return linking.ingest_links(symbols.drop("src_key"), orders.select("doc_id", "file"), refs)
 
 
 @query(INGESTED)
 def ingest_links(b: Bound) -> DataFrame:
-    return _ingested(b, "l_quantity >= 45")
-
-
-@query(INGESTED.replace(" WHERE l.l_quantity >= 45", ""))
-def ingest_links_all(b: Bound) -> DataFrame:
-    return _ingested(b, "true")
+    return _ingested(b)
 
 
 # ---- events --------------------------------------------------------------------

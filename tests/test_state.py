@@ -45,7 +45,7 @@ def test_scan_twice_changes_nothing(base):
 def test_gc_marks_then_deletes(spark, base):
     scanned = spark.createDataFrame([("s2",)], "id string")
     assert rows(state.gc_plan(base, scanned), "symbol_id", "action") == [("s1", "mark")]
-    marked = base.with_(changelog=base.changelog.withColumns({"change_type": F.lit("deleted"), "new_sig": F.lit("__stale__")}))
+    marked = base.with_(changelog=base.changelog.withColumns({"change_type": F.lit("deleted"), "old_sig": F.lit("__stale__")}))
     assert rows(state.gc_plan(marked, scanned), "symbol_id", "action") == [("s1", "delete")]
     gone = state.cascade_delete(base, symbols=spark.createDataFrame([("s1",)], "id string"))
     assert gone.mappings.count() == 0 and gone.changelog.count() == 0

@@ -19,7 +19,7 @@ def test_implied_reads_short_names_and_conversations(spark, sf_dir):
     names = {w for (t,) in con.execute("SELECT text FROM benchmark").fetchall() for w in re.findall("[a-z]{6,}", t.lower())}
     rows = con.execute("SELECT CAST(doc_id AS VARCHAR), text FROM documents UNION ALL SELECT 'c' || conv_id || ':' || turn, text FROM conversations").fetchall()
     named = {d: names & set(re.findall("[a-z0-9_]+", t.lower())) for d, t in rows if re.match("[A-Za-z]+ [A-Za-z]+", t)}
-    got = [r.doc_id for r in core.QUERIES["review_implied_all"](spark, sf_dir).collect()]
+    got = [r.doc_id for r in core.QUERIES["review_implied"](spark, sf_dir).collect()]
     assert len(got) == sum(map(len, named.values()))
     assert {d for d, n in named.items() if n} == set(got) and any(d.startswith("c") for d in got)
 
@@ -42,13 +42,13 @@ def test_all_lines_are_validated_and_linked(spark, sf_dir):
     con = connect(sf_dir)
     joined = "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"
     (lines,) = con.execute(f"SELECT count(*) FROM {joined}").fetchone()
-    assert core.QUERIES["link_validate_all"](spark, sf_dir).count() == lines
+    assert core.QUERIES["link_validate"](spark, sf_dir).count() == lines
     files: dict[str, list] = {}
     for name, brand in con.execute("SELECT replace(p_name, ' ', '_'), replace(lower(p_brand), '#', '_') FROM part").fetchall():
         files.setdefault(name, []).append(brand)
     uses = con.execute(f"SELECT DISTINCT CAST(o_orderkey AS VARCHAR), replace(p_name, ' ', '_'), 'brand_' || CAST(11 + o_custkey % 15 AS VARCHAR) FROM {joined}").fetchall()
     want = {(doc, name) for doc, name, own in uses if len(files[name]) == 1 or files[name].count(own) == 1}
-    got = [(r.doc_id, r.ref) for r in core.QUERIES["ingest_links_all"](spark, sf_dir).collect()]
+    got = [(r.doc_id, r.ref) for r in core.QUERIES["ingest_links"](spark, sf_dir).collect()]
     assert len(got) == len(want) and set(got) == want
 
 
