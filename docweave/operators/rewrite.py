@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import signatures
 from ..functions.signatures import strip_code
 from ..functions.text import occurrence_count, strip_tail
 
@@ -79,6 +80,13 @@ def update_inline(files: DataFrame, content: str, old: str, new: str, language:
     return found.withColumns({content: F.col("_u.text"), "outcome": F.col("_u.outcome")}).drop("_u")
 
 
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("outcome", T.StringType())]))
+def inline_update(content: pd.Series, name: pd.Series, language: pd.Series, new_doc: pd.Series, old_signature: pd.Series, new_signature: pd.Series) -> pd.DataFrame:
+    """(text, outcome) of ``signatures.update_inline`` row by row."""
+    rows = zip(content, name, language, new_doc, old_signature, new_signature, strict=True)
+    return pd.DataFrame([signatures.update_inline(*(x or "" for x in r)) for r in rows], columns=["text", "outcome"])
+
+
 # Scripts that may generate a kind of file, in order of preference.
 SPEC_SCRIPTS = ("generate:api", "generate:openapi")
 DOC_SCRIPTS = ("docs:generate", "generate:docs", "build:docs", "docs:build")

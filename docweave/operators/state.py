@@ -14,7 +14,7 @@ from ..functions.text import kind_map
 from ..model import REL_TYPES, REVIEW_STATUSES, State
 
 #: strategy by section type -> what a sync does (see ``sync_plan``).
-DEFAULT_STRATEGIES = {"inline": "auto_update", "standalone": "mark_stale", "generated": "auto_update", "architecture": "prompt"}
+DEFAULT_STRATEGIES = {"inline": "auto_update", "standalone": "auto_update", "generated": "auto_update", "architecture": "mark_stale"}
 
 
 def mapping_fold(events: DataFrame, *order: str) -> DataFrame:
@@ -106,12 +106,18 @@ def change_cascade(state: State, changed: DataFrame) -> DataFrame:
     return grouped.select("symbol_id", F.size("docs").cast("long").alias("n_affected"), F.array_join("docs", ",").alias("affected_docs"), pending.alias("sync_status"))
 
 
-def mark_stale(state: State, symbols: DataFrame) -> DataFrame:
-    """Sections with the status stale wherever a link that is not rejected leads to one of ``symbols`` (symbol_id)."""
+def mark_stale(state: State, symbols: DataFrame, now: Column | None = None) -> DataFrame:
+    """Sections with the status stale wherever a link that is not rejected leads to one of ``symbols`` (symbol_id).
+
+    With ``now`` their updated_at is set.
+    """
     links = state.mappings.filter(F.col("review_status") != "rejected").join(symbols.select("symbol_id").distinct(), "symbol_id", "left_semi")
     hit = links.select(F.col("doc_id").alias("_hit")).distinct()
     joined = state.doc_sections.join(hit, F.col("id") == F.col("_hit"), "left")
-    return joined.withColumn("status", F.when(F.col("_hit").isNotNull(), "stale").otherwise(F.col("status"))).drop("_hit")
+    changed = {"status": F.when(F.col("_hit").isNotNull(), "stale").otherwise(F.col("status"))}
+    if now is not None:
+        changed["updated_at"] = F.when(F.col("_hit").isNotNull(), now).otherwise(F.col("updated_at"))
+    return joined.withColumns(changed).drop("_hit")
 
 
 def created_log(created: DataFrame, timestamp: Column) -> DataFrame:

@@ -316,8 +316,8 @@ def bulk_review(b: Bound) -> DataFrame:
 
 
 @query("""SELECT symbol_id, doc_id, rel_type, doc_type,
-CASE doc_type WHEN 'inline' THEN 'auto_update' WHEN 'standalone' THEN 'mark_stale' WHEN 'generated' THEN 'auto_update' ELSE 'prompt' END AS strategy,
-CASE doc_type WHEN 'inline' THEN 'update_inline' WHEN 'standalone' THEN 'mark_stale' WHEN 'generated' THEN 'regenerate' ELSE 'prompt' END AS action
+CASE doc_type WHEN 'inline' THEN 'auto_update' WHEN 'standalone' THEN 'auto_update' WHEN 'generated' THEN 'auto_update' ELSE 'mark_stale' END AS strategy,
+CASE doc_type WHEN 'inline' THEN 'update_inline' WHEN 'standalone' THEN 'replace_signature' WHEN 'generated' THEN 'regenerate' ELSE 'mark_stale' END AS action
 FROM mappings m JOIN doc_sections d ON m.doc_id = d.id WHERE symbol_id IN (SELECT symbol_id FROM mappings m JOIN doc_sections d ON m.doc_id = d.id WHERE status = 'stale')""")
 def sync_plan(b: Bound) -> DataFrame:
     return state.sync_plan(b.state, reports.stale_symbols(b.state))

@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.signatures import docstring_before, python_docstring
+from ..functions.signatures import docstring_before, python_docstring, signature_udf
 
 SYMBOL_SCHEMA = "name string, kind string, file string, line int, signature string, raw_signature string, docstring string, language string"
 
@@ -119,6 +121,52 @@ def parse_index_text(text: str) -> list[tuple[str, str, str, int]]:
     return [(n, k or kinds.get((n, f), "function"), f, at) for (n, f, at), k in found.items()]
 
 
+def index_rows(answers: DataFrame, text: str = "text") -> DataFrame:
+    """``answers`` with name, kind, file and line for each symbol that an index's listing names."""
+
+    @F.pandas_udf("array<struct<name:string,kind:string,file:string,line:int>>")
+    def listed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [dict(zip(("name", "kind", "file", "line"), row, strict=True)) for row in parse_index_text(t or "")])
+
+    return answers.select("*", F.inline(listed(F.col(text))))
+
+
+class SymbolExtractor(Protocol):
+    """What a source of symbols has to offer: rows of SYMBOL_SCHEMA from (path, content)."""
+
+    def extract(self, files: DataFrame) -> DataFrame: ...
+
+
+class RuleExtractor:
+    """The built-in rules."""
+
+    def extract(self, files: DataFrame) -> DataFrame:
+        return extract_symbols(files)
+
+
+@dataclass(frozen=True)
+class IndexExtractor:
+    """Symbols from the captured listings (text) of an external index, signatures and docstrings from the files.
+
+    Starting the index's process is no matter of an engine: its answers come as a table.  If they name
+    no symbol although there are files, the built-in rules take over.
+    """
+
+    answers: DataFrame
+
+    def extract(self, files: DataFrame) -> DataFrame:
+        found = index_rows(self.answers).select("name", "kind", F.col("file").alias("path"), "line").distinct()
+        if found.isEmpty():
+            return extract_symbols(files)
+        language = F.try_element_at(F.create_map(*(F.lit(x) for p in LANGUAGES.items() for x in p)), F.lower(F.substring_index("path", ".", -1)))
+        met = found.join(files.select("path", "content"), "path", "left")
+        signature = signature_udf()("content", "name", "line", "path")
+        return met.select(
+            "name", "kind", F.col("path").alias("file"), "line", F.regexp_replace(signature, r"\s+", " ").alias("signature"), signature.alias("raw_signature"),
+            signature_udf("docstring")("content", "name", "line", "path").alias("docstring"), F.coalesce(language, F.lit("")).alias("language"),
+        )
+
+
 def last_definition(lines: DataFrame, name: str, text: str = "text", pos: str = "pos") -> DataFrame:
     """The last line (by ``pos``) that defines ``name``."""
     pattern = rf"(?<![A-Za-z0-9_])(function|class|def|fn|func|const|interface|type|struct|trait)\s+{re.escape(name)}(?![A-Za-z0-9_])"

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
 import pandas as pd
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 REF = "struct<symbolName:string,refType:string,confidence:double,lineInDoc:int>"
-SECTION_SCHEMA = f"file string, anchor string, content string, codeRefs array<{REF}>"
+SECTION_SCHEMA = f"file string, anchor string, content string, codeRefs array<{REF}>, position int"
 
 # Prose words that are no weak references.
 STOPWORDS = frozenset(
@@ -277,15 +278,28 @@ class Html:
             yield text, part, list(unique.values())[::-1]
 
 
-HTML = Html()
-#: Extension -> format.
+class DocParser(Protocol):
+    """What a documentation format has to offer: (anchor, content, references) of each section of a text."""
+
+    def sections(self, content: str) -> Iterator[tuple[str, str, list[Ref]]]: ...
+
+
+HTML: DocParser = Html()
+#: Extension -> format; ``register`` adds others.
 FORMATS = {"md": MARKDOWN, "mdx": MARKDOWN, "rst": RST, "adoc": ASCIIDOC, "asciidoc": ASCIIDOC, "html": HTML, "htm": HTML}
+
+
+def register(extension: str, parser: DocParser) -> None:
+    """Makes a format known to every reader of this process; executors get it with the functions that use it."""
+    FORMATS[extension.lower()] = parser
+
+
 _ARROW_REF = pa.struct([("symbolName", pa.string()), ("refType", pa.string()), ("confidence", pa.float64()), ("lineInDoc", pa.int32())])
 
 
-def parse_text(path: str, content: str | None, max_bytes: int | None = None, max_lines: int | None = None) -> list[tuple[str, str, list[Ref]]]:
+def parse_text(path: str, content: str | None, max_bytes: int | None = None, max_lines: int | None = None, formats: dict[str, DocParser] | None = None) -> list[tuple[str, str, list[Ref]]]:
     """Sections of one file; a limit, if given, leaves out a longer file (``max_bytes`` counts characters)."""
-    form = FORMATS.get(path.rsplit(".", 1)[-1].lower()) if path else None
+    form = (formats or FORMATS).get(path.rsplit(".", 1)[-1].lower()) if path else None
     if form is None or not content or (max_bytes is not None and len(content) > max_bytes):
         return []
     if max_lines is not None and content.count("\n") >= max_lines:
@@ -294,14 +308,15 @@ def parse_text(path: str, content: str | None, max_bytes: int | None = None, max
 
 
 def parse_documents(files: DataFrame, path: str = "path", content: str = "content", max_bytes: int | None = None, max_lines: int | None = None) -> DataFrame:
-    """Sections of all files: (file, anchor, content, codeRefs); limits on a file are off by default."""
+    """Sections of all files: (file, anchor, content, codeRefs, position); limits on a file are off by default."""
+    formats = dict(FORMATS)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p, *s) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for s in parse_text(p, c, max_bytes, max_lines)]
+            rows = [(p, *s, k) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, s in enumerate(parse_text(p, c, max_bytes, max_lines, formats))]
             refs = [[{"symbolName": r.name, "refType": r.kind, "confidence": r.confidence, "lineInDoc": r.line} for r in row[3]] for row in rows]
             columns = [pa.array([row[k] for row in rows], pa.string()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(refs, pa.list_(_ARROW_REF))], names=["file", "anchor", "content", "codeRefs"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(refs, pa.list_(_ARROW_REF)), pa.array([row[4] for row in rows], pa.int32())], names=["file", "anchor", "content", "codeRefs", "position"])
 
     return files.select(F.col(path), F.col(content)).mapInArrow(parse, SECTION_SCHEMA)
 
@@ -336,23 +351,28 @@ def bodytext_words(texts: DataFrame, key: str, text: str) -> DataFrame:
 # ---- locating a section in a file -----------------------------------------------
 
 
-def locate_section(content: str, anchor: str) -> str | None:
-    """The section under the heading ``anchor`` (case counts), to the next heading of its level or above.
-
-    Headings in fences are none; ``''`` is the text before the first heading; None if there is none.
-    """
+def section_bounds(content: str, anchor: str | None) -> tuple[int, int] | None:
+    """(first line, line after the last) of the section under the heading ``anchor``, or None."""
     lines = content.split("\n")
     heads = _markdown_headings(lines)
     if not anchor:
-        text = "\n".join(lines[: heads[0][0]] if heads else lines)
-        return text if text.strip() else None
+        end = heads[0][0] if heads else len(lines)
+        return (0, end) if "\n".join(lines[:end]).strip() else None
     for k, (at, _, text, level) in enumerate(heads):
         if text == anchor:
-            end = next((h[0] for h in heads[k + 1 :] if h[3] <= level), len(lines))
-            return "\n".join(lines[at:end])
+            return at, next((h[0] for h in heads[k + 1 :] if h[3] <= level), len(lines))
     return None
 
 
+def locate_section(content: str, anchor: str) -> str | None:
+    """The section under the heading ``anchor`` (case counts), to the next heading of its level or above.
+
+    Headings in fences are none; ``''`` is the text before the first heading; None if there is none.
+    """
+    bounds = section_bounds(content, anchor)
+    return "\n".join(content.split("\n")[bounds[0] : bounds[1]]) if bounds else None
+
+
 def review_section(content: str, anchor: str) -> str | None:
     """As a review finds it: case apart, to the next heading of any level, fences unseen."""
     m = re.search(rf"^#{{1,6}}\s+{re.escape(anchor)}\s*$", content, re.I | re.M)
