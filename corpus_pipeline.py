@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm import decontaminate, language_id, line_dedup, minhash, mixing
-from docweave.llm.common import column_name, materialize, table
+from docweave.llm.common import column_name, discard, materialize, table
 
 #: A document stays if its language is known with at least this calibrated probability.
 MIN_LANGUAGE_SCORE = 0.5
@@ -89,10 +89,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is a table in the shared folder before the next."""
+    """All stages over ``documents``; each result is a table in the shared folder before the next.
+
+    A stage's input is deleted once its output is written.
+    """
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = materialize(docs)
-    return docs
+    for name, stage in STAGES[:-1]:
+        done = materialize(stage(spark, docs, sf_dir))
+        if name != STAGES[0][0]:
+            discard(docs)
+        docs = done
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -35,22 +35,39 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _shared_root(spark: SparkSession) -> str:
-    """The application's part of that folder.  Only where the setting is absent (local tests) is it a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
+    """The application's part of that folder.  Where the setting is absent, a local session (tests) has a folder
+    of its own; a cluster is refused, as its machines share no temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = os.path.join(tempfile.gettempdir(), "checkpoints")
     return f"{root.rstrip('/')}/docweave-{spark.sparkContext.applicationId}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes the tables that this application has written; results that still read them are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_shared_root(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _shared_root(spark))
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a Parquet table in the shared folder; survives lost executors."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``materialize`` that no result reads any more: what came of them is written itself."""
+    for table in tables:
+        _delete(table.sparkSession, table._written_to)
 
 
 def column_name(df: DataFrame, wanted: str) -> str:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLDED, SPACED_BYTES, _mixer, column_name, materialize, mix64, text_slices, tidy, word_hashes, words_of
+from .common import FOLDED, SPACED_BYTES, _mixer, column_name, discard, materialize, mix64, text_slices, tidy, word_hashes, words_of
 
 #: BANDS bands of PERMUTATIONS permutations each (two values a permutation).  A pair of similarity
 #: 0.8 shares no band with probability (1 - 0.8 ** 6) ** 42, below 3 in a million.
@@ -140,7 +140,9 @@ def bucket_members(able: DataFrame, classes: DataFrame) -> DataFrame:
     kept = kept.filter("center <> high").groupBy("center", "high", "c", "s").agg(F.min("bucket").alias("bucket"))
     sizes = classes.select(F.col("d1").alias("center"), F.col("n").alias("n_center"))
     buckets = materialize(kept.select("bucket", "center").join(sizes, "center"))
-    return materialize(rows.join(buckets, "bucket").distinct())
+    members = materialize(rows.join(buckets, "bucket").distinct())
+    discard(buckets)
+    return members
 
 
 def open_groups(members: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -343,7 +345,9 @@ def components(links: DataFrame) -> DataFrame:
         large = materialize(large)
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        edges = materialize(small)
+        new = materialize(small)
+        discard(edges, large)
+        edges = new
         last, now = now, state(edges)
         if last == now:
             break
@@ -390,6 +394,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     named = materialize(named.filter("c > 1 OR component IS NOT NULL").select("node", "least", F.coalesce("component", "node").alias("component")))
     first = materialize(named.groupBy("component").agg(F.min("least").alias("first")))
     named = materialize(named.join(first, "component").select(F.col("node").alias("node2"), "first"))
+    discard(classes, members, held, sets, links, nodes, more)
     joined = signed.drop("bands", "d1").join(named, (F.col("node") == F.col("node2")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("first", "doc_id")
     out = [F.col("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")]
