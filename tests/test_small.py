@@ -44,3 +44,38 @@ def test_locations_and_stems(spark):
     file, line = tx.parse_location(F.lit("C:/a/b.ts:12"))
     r = spark.range(1).select(file.alias("f"), line.alias("n"), tx.file_stem(F.lit("Docs\\Auth.Api.md")).alias("s"), tx.percent(F.lit(1), F.lit(8)).alias("p"), tx.strip_tail(F.lit("f() {")).alias("t"), tx.normalize_doc_lines(F.lit("a  \r\nb")).alias("d")).first()
     assert tuple(r) == ("C:/a/b.ts", 12, "auth.api", 13, "f()", "a\nb")
+
+
+def test_an_index_names_symbols_and_files_give_the_rest(spark):
+    sources = spark.createDataFrame([("src/a.ts", "/** Goes. */\nfunction go(\n  a: number,\n): void {\n}\n"), ("src/b.ts", "function other() {\n}\n")], "path string, content string")
+    answers = spark.createDataFrame([("## function `go` (src/a.ts)\n- go in src/a.ts:2\n",)], "text string")
+    (row,) = code.IndexExtractor(answers).extract(sources).collect()
+    assert (row["name"], row.kind, row.file, row.line, row.signature, row.docstring, row.language) == ("go", "function", "src/a.ts", 2, "function go( a: number, ): void {", "Goes.", "typescript")
+    fallback = code.IndexExtractor(answers.filter("false")).extract(sources)
+    assert {r["name"] for r in fallback.collect()} == {"go", "other"}
+
+
+def test_another_format_can_be_added(spark):
+    from docweave.sources import parsers
+
+    class Lines:
+        def sections(self, content):
+            for i, line in enumerate(content.split("\n")):
+                yield f"line {i}", line, []
+
+    parsers.register("lines", Lines())
+    try:
+        files = spark.createDataFrame([("a.lines", "x\ny")], "path string, content string")
+        assert [(r.anchor, r.content, r.position) for r in parsers.parse_documents(files).orderBy("position").collect()] == [("line 0", "x", 0), ("line 1", "y", 1)]
+    finally:
+        parsers.FORMATS.pop("lines")
+
+
+def test_signatures_in_awkward_sources():
+    from docweave.functions import signatures as s
+
+    assert s.current_signature("class A {\n  run(a)\n  {\n  }\n}", "run") == "run(a)\n  {"
+    assert s.current_signature("interface I {\n  run(a): void;\n}\nfunction run<T extends (x: number) => void>(a: T) {\n}", "run").startswith("function run<T")
+    assert s.current_signature("function f() {\n}\nfunction f(a) {\n}", "f", 2) == "function f(a) {"
+    assert s.update_inline("/** A. */\nfunction f() {\n}\nf() {\nfunction f() {", "f", "typescript", "B.", "function f() {", "function f(a) {")[1] == "ambiguous signature"
+    assert s.update_inline("def f():\n    '''A.'''\n", "f", "python", "B.", "", "") == ("def f():\n    '''B.'''\n", "updated")
