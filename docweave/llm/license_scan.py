@@ -130,7 +130,8 @@ def words_column(text: Column) -> Column:
 
 
 def _literal_words(words: list[str]) -> Column:
-    return F.array(*map(F.lit, words))
+    """An array of words as one literal text, which the optimiser splits once."""
+    return F.split(F.lit(" ".join(words)), " ", -1)
 
 
 def vocabulary() -> list[str]:
