@@ -175,25 +175,20 @@ def _all(conditions) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def _template_result(t: int, words: Column, rare: list[tuple[str, int]], occurrences: Column, held: Column) -> Column:
-    """(label, best score of the verified starts of template ``t``, or null).
+def _template_result(t: int, rare: list[tuple[str, int]], words: str, occurrences: str, held: str) -> Column:
+    """(label, best score of the verified starts of template ``t``, or null), from columns of these names.
 
     The places of each rare word, less its place in the notice, are the starts that it proposes;
     their intersection over the rare words is verified, so the work is linear in the occurrences.
     """
     label, notice, key = TEMPLATES[t]
-    parts, key_parts = notice.split(), key.split()
-    offset = _key_offset(parts, key_parts)
-    proposed = lambda w, p: F.transform(F.filter(occurrences, lambda x: x["w"] == w), lambda x: x["i"] - p)
-    starts = reduce(F.array_intersect, (proposed(w, p) for w, p in rare))
-    verified = F.filter(starts, lambda s: F.coalesce(_all(F.get(words, s + offset + k) == w for k, w in enumerate(key_parts)), F.lit(False)))
-
-    def share(start: Column) -> Column:
-        same = F.filter(F.transform(_literal_words(parts), lambda w, k: F.get(words, start + k).eqNullSafe(w)), lambda x: x)
-        return F.size(same) / F.lit(float(len(parts)))
-
-    best = F.when(F.array_contains(held, t), F.array_max(F.transform(verified, share)))
-    return F.struct(F.lit(label).alias("label"), best.alias("score"))
+    offset = _key_offset(notice.split(), key.split())
+    proposed = [f"transform(filter(`{occurrences}`, x -> x.w = '{w}'), x -> x.i - {p})" for w, p in rare]
+    starts = reduce(lambda a, b: f"array_intersect({a}, {b})", proposed)
+    key_there = " AND ".join(f"get(`{words}`, s + {offset + k}) = '{w}'" for k, w in enumerate(key.split()))
+    share = f"size(filter(transform(split('{notice}', ' ', -1), (w, k) -> get(`{words}`, s + k) <=> w), y -> y)) / {len(notice.split())}D"
+    best = f"array_max(transform(filter({starts}, s -> coalesce({key_there}, false)), s -> {share}))"
+    return F.expr(f"named_struct('label', '{label}', 'score', CASE WHEN array_contains(`{held}`, {t}) THEN {best} END)")
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -237,7 +232,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     rare = F.array_distinct(F.flatten(F.transform(held, lambda t: F.get(by_template, t))))
     walked = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(rare, x["w"]))
     placed = placed.withColumn(names["occurrences"], F.when(F.size(held) > 0, walked))
-    results = F.array(*(_template_result(t, words, postings[t], occurrences, held) for t in range(len(TEMPLATES))))
+    results = F.array(*(_template_result(t, postings[t], names["words"], names["occurrences"], names["held"]) for t in range(len(TEMPLATES))))
     found = F.when(F.size(held) > 0, F.filter(results, lambda x: x["score"].isNotNull())).otherwise(F.array().cast("array<struct<label:string,score:double>>"))
     placed = placed.withColumn(names["found"], found)
     found = F.col(names["found"])
