@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import FOLDED, SPACED_BYTES, _mixer, column_name, discard, materialize, mix64, text_slices, tidy, word_hashes, words_of
@@ -131,17 +131,33 @@ def bucket_members(able: DataFrame, classes: DataFrame) -> DataFrame:
 
     center is the bucket's set of the smallest digest: the digest is a hash, so a group of near
     copies has the same center in most of its buckets.  Buckets with the same members are one bucket.
-    Counts and minima combine in the map tasks; the buckets are written first, so that their true
-    size decides whether the join broadcasts them or shuffles the band rows, where a hot bucket can
-    be split.
+    Least and largest digest, combined in the map tasks, tell the buckets of several sets; a filter of
+    fixed size then leaves out most band rows of the others where they are read, so that the rows of
+    such buckets are nearly all that the joins shuffle, at every size.
     """
-    rows = able.select(F.explode("bands").alias("bucket"), "d1", "n")
-    kept = rows.groupBy("bucket").agg(F.min("d1").alias("center"), F.max("d1").alias("high"), F.count("*").alias("c"), F.sum(F.col("d1").cast("decimal(38,0)")).alias("s"))
-    kept = kept.filter("center <> high").groupBy("center", "high", "c", "s").agg(F.min("bucket").alias("bucket"))
+    rows = able.select(F.explode("bands").alias("bucket"), "d1")
+    several = rows.groupBy("bucket").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).filter("low <> high")
+    several = materialize(several.select("bucket"))
+    shared, shift = _bitmap(several.select(F.col("bucket").alias("id")), FILTER_BITS, F.col("id"))  # a bucket is a hash
+
+    def members_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands = batch.column(2)
+            key = bands.flatten().to_numpy(zero_copy_only=False)
+            place = key.view(np.uint64) >> np.uint64(shift)
+            hit = np.flatnonzero((shared.value[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
+            row = pa.array(np.repeat(np.arange(len(bands)), np.asarray(bands.value_lengths()))[hit])
+            yield pa.RecordBatch.from_arrays([pa.array(key[hit]), batch.column(0).take(row), batch.column(1).take(row)], names=["bucket", "d1", "n"])
+
+    near = able.select("d1", "n", "bands").mapInArrow(tidy(members_of), "bucket long, d1 long, n long")
+    near = materialize(near.join(several, "bucket").distinct())
+    kept = near.groupBy("bucket").agg(F.min("d1").alias("center"), F.max("d1").alias("high"), F.count("*").alias("c"), F.sum(F.col("d1").cast("decimal(38,0)")).alias("s"))
+    kept = kept.groupBy("center", "high", "c", "s").agg(F.min("bucket").alias("bucket"))
     sizes = classes.select(F.col("d1").alias("center"), F.col("n").alias("n_center"))
+    # Written first, so that their true size decides how the join is done.
     buckets = materialize(kept.select("bucket", "center").join(sizes, "center"))
-    members = materialize(rows.join(buckets, "bucket").distinct())
-    discard(buckets)
+    members = materialize(near.join(buckets, "bucket").distinct())
+    discard(several, near, buckets)
     return members
 
 
@@ -244,13 +260,13 @@ def _linker(percent: int):
 # ---- a filter of fixed size ---------------------------------------------------
 
 
-def _bitmap(ids: DataFrame, limit: int):
-    """(broadcast words, shift): bit xxhash64(id) >>> shift is set for each id (one column, id)."""
+def _bitmap(ids: DataFrame, limit: int, spread: Column):
+    """(broadcast words, shift): bit spread >>> shift is set for each id (one column, id)."""
     spark = ids.sparkSession
     n = ids.count()
-    bits = min(limit, max(1 << 16, 1 << (16 * n - 1).bit_length() if n else 0))
+    bits = min(limit, max(1 << 16, 1 << (32 * n - 1).bit_length() if n else 0))
     shift = 64 - (bits - 1).bit_length()
-    place = F.shiftrightunsigned(F.xxhash64(F.col("id")), shift)
+    place = F.shiftrightunsigned(spread, shift)
     word = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("b")
     words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(word).toArrow()
     table = np.zeros(bits // 64, np.int64)
@@ -264,7 +280,7 @@ def filtered(rows: DataFrame, column: str, ids: DataFrame, then, schema, limit:
     A bitmap of at most ``limit`` bits is broadcast, whatever the number of ids; false hits pass and
     are left to the join that follows.  Filter and function share one Python worker.
     """
-    shared, shift = _bitmap(ids, limit)
+    shared, shift = _bitmap(ids, limit, F.xxhash64(F.col("id")))
     place = column_name(rows, "_place")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
