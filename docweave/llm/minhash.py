@@ -392,6 +392,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     # Exact copies are counted in the map tasks; from here on they are one row.
     classes = materialize(able.groupBy("d1", "node", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")))
     members = bucket_members(able, classes)
+    # Band keys have done their work; what is kept of each document is narrow.
+    banded, signed = signed, materialize(signed.drop("bands", "d1"))
+    discard(banded)
     held = materialize(classes.join(members.select("d1").distinct(), "d1", "left_semi").select("d1", "node", F.col("least").alias("id")))
     sets = full_sets(docs, held.select("id"), words, text)
     sets = materialize(sets.join(held.select(F.col("node").alias("held")), F.col("node") == F.col("held"), "left_semi").dropDuplicates(["node"]))
@@ -399,8 +402,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     linked = components(links)
     nodes = held.select("d1", "node").join(linked, F.col("node") == F.col("id"), "left").select("d1", "node", F.coalesce("component", "node").alias("component"))
     nodes = materialize(nodes)
-    left = open_groups(members.select("bucket", "d1").join(nodes.select("d1", "component"), "d1"), block)
-    groups = left.join(sets.select("d1", "node", "shingles"), "d1").select("bucket", "i", "j", "node", "own", "component", "shingles")
+    left = materialize(open_groups(members.select("bucket", "d1").join(nodes.select("d1", "component"), "d1"), block))
+    # Sets that no open group asks for are left out where they are read.
+    wanted = filtered(sets.select("d1", "node", "shingles"), "d1", left.select(F.col("d1").alias("id")).distinct(), lambda batch: iter([batch]), "d1 long, node binary, shingles binary")
+    groups = left.join(wanted, "d1").select("bucket", "i", "j", "node", "own", "component", "shingles")
     groups = groups.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     more = materialize(groups.mapInArrow(_linker(percent), "a binary, b binary").distinct())
     if not more.isEmpty():
@@ -410,8 +415,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     named = materialize(named.filter("c > 1 OR component IS NOT NULL").select("node", "least", F.coalesce("component", "node").alias("component")))
     first = materialize(named.groupBy("component").agg(F.min("least").alias("first")))
     named = materialize(named.join(first, "component").select(F.col("node").alias("node2"), "first"))
-    discard(classes, members, held, sets, links, nodes, more)
-    joined = signed.drop("bands", "d1").join(named, (F.col("node") == F.col("node2")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
+    discard(classes, members, held, sets, links, nodes, left, more)
+    joined = signed.join(named, (F.col("node") == F.col("node2")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("first", "doc_id")
     out = [F.col("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")]
     return joined.select(*out, *([F.col("version").alias(version)] if version else []))
