@@ -116,6 +116,42 @@ def test_large_groups_are_linked_whole(block, spark):
     assert got == near_components(rows, 3)
 
 
+def test_sketches_rule_out_no_link():
+    """Sets at the threshold agree in far more values than is asked for; strangers in far fewer."""
+    import numpy as np
+
+    from docweave.llm import minhash
+
+    r = np.random.Generator(np.random.PCG64(3))
+    for n in (64, 90, 900, 9000):
+        shared = r.integers(0, 1 << 64, (60, n), dtype=np.uint64)
+        other = r.integers(0, 1 << 64, (60, n), dtype=np.uint64)
+        own = n // 9  # of each side: 8 of 10 shingles of the union are shared
+        sides = [np.concatenate([shared[:, own:], other[:, k * own : (k + 1) * own]], axis=1) for k in (0, 1)]
+        a, b, c = (minhash.sketches(s.ravel(), np.arange(61) * s.shape[1]) for s in (*sides, other))
+        assert minhash.agreement(a, b).min() > minhash.MIN_AGREE
+        assert minhash.agreement(a, c).max() < minhash.MIN_AGREE
+    empty = minhash.sketches(np.arange(3, dtype=np.uint64), np.array([0, 0, 3, 3]))
+    assert empty.shape == (3, minhash.BANDS * minhash.PERMUTATIONS) and not empty[[0, 2]].any()
+
+
+def test_partners_of_a_group():
+    import numpy as np
+
+    from docweave.llm import minhash
+
+    r = np.random.Generator(np.random.PCG64(4))
+    marks = r.integers(0, 256, (6, minhash.BANDS * minhash.PERMUTATIONS), dtype=np.uint8)
+    marks[1] = marks[0]
+    m, own = np.array([100, 101, 100, 100, 10, 9]), np.array([0, 1, 0, 1, 0, 1])
+    found = lambda components, across: sorted(minhash._group_partners(m, own, np.array(components), marks, across, 80))
+    assert found([b"a", b"b", b"c", b"d", b"e", b"f"], False) == [0, 1, 4, 5]  # small sets by size alone
+    assert found([b"a", b"a", b"c", b"d", b"e", b"e"], False) == []
+    own[:2] = 0
+    assert found([b"a", b"b", b"c", b"d", b"e", b"f"], True) == [4, 5]
+    assert found([b"a", b"b", b"c", b"d", b"e", b"f"], False) == [0, 1, 4, 5]
+
+
 def test_near_duplicates_keeps_all_rows(spark, edge_docs):
     from docweave.llm import minhash
 
