@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -390,6 +391,21 @@ def filtered(rows: DataFrame, column: str, ids: DataFrame, then, schema, limit:
     return placed.mapInArrow(tidy(keep), schema)
 
 
+def possibly_in(column: str, ids: DataFrame, limit: int = FILTER_BITS) -> Column:
+    """Whether a long ``column`` may be in ``ids`` (one column, id): false only if it is not; null is an id like others.
+
+    The bitmap is that of ``filtered``; only hashes pass Python, so other columns are not copied.
+    """
+    shared, shift = _bitmap(ids, limit, F.xxhash64(F.col("id")))
+
+    @F.pandas_udf("boolean")
+    def hit(place: pd.Series) -> pd.Series:
+        p = place.to_numpy()
+        return pd.Series((shared.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return hit(F.shiftrightunsigned(F.xxhash64(F.col(column).cast("long")), shift))
+
+
 # ---- stars, confirmation and components ---------------------------------------
 
 
