@@ -52,9 +52,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     version = column_name(docs, "_version")
     versioned = docs.withColumn(version, F.xxhash64("text"))
     found = materialize(minhash.near_duplicates(versioned.select("doc_id", "text", version), words=5, version=version))
-    # The few that go are the side whose size decides how the join is done.
     gone = materialize(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col(version).alias("_text")).distinct())
-    kept = versioned.join(gone, (versioned["doc_id"] == gone["_gone"]) & (versioned[version] == gone["_text"]), "left_anti")
+    # Filters of fixed size settle nearly all rows where they are read: what may go is looked up without
+    # its text, and only what stays against the first filter is joined with its text.
+    stays = lambda rows: rows.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col(version) == F.col("_text")), "left_anti")
+    may_go = minhash.possibly_in("doc_id", gone.select(F.col("_gone").alias("id")))
+    back = materialize(stays(versioned.filter(may_go).select("doc_id", version)).select(F.col("doc_id").alias("id")).distinct())
+    kept = versioned.filter(~may_go).unionByName(stays(versioned.filter(may_go).filter(minhash.possibly_in("doc_id", back))))
     repeated = found.filter("doc_id IS NOT NULL").groupBy("doc_id", version).agg(F.count("*").alias("c")).filter("c > 1")
     return (kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", version])).select(*docs.columns)
 
