@@ -105,7 +105,7 @@ def _edited(files: DataFrame, edits: DataFrame, edit, *fields: str) -> DataFrame
         return pd.DataFrame({"content": [r[0] for r in rows], "outcomes": [[dict(zip(("symbol_id", "doc_id", "outcome", "hash"), o, strict=True)) for o in r[1]] for r in rows]})
 
     todo = edits.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("symbol_id", "doc_id", *fields))).alias("todo"))
-    held = todo.join(files.select(F.col("path").alias("path2"), "content"), F.col("path") == F.col("path2"))
+    held = todo.hint("merge").join(files.select(F.col("path").alias("path2"), "content"), F.col("path") == F.col("path2"))
     return held.select("path", F.col("content").alias("before"), apply("path", "content", "todo").alias("e"))
 
 
@@ -114,29 +114,30 @@ def sync(state: State, symbols: DataFrame, code_files: DataFrame, doc_files: Dat
 
     ``code_files`` and ``doc_files`` have path, content and (documents) modified.  Sections of several
     links: one that any link leaves stale is stale, else one that any link brought in sync is in sync.
-    A generator is named and not run, so its section keeps its status.
+    A generator is named and not run, so its section keeps its status.  Joins are merges: Spark takes a
+    text that it has not read from a file for 20 bytes, and would broadcast all texts through the driver.
     """
     file, line = parse_location(F.col("location"))
     s = state.symbols.select(F.col("id").alias("symbol_id"), "name", "raw_signature", file.alias("src"), line.alias("line"))
     d = state.doc_sections.select(F.col("id").alias("doc_id"), F.col("file").alias("doc_file"), "anchor", F.col("status").alias("before"), F.col("content_hash").alias("old_hash"), F.col("updated_at").alias("doc_updated"))
     plan = transitions.sync_plan(state, symbols, strategies).filter("action <> 'skip'").select("symbol_id", "doc_id", "doc_type", "action").distinct()
-    placed = plan.join(s, "symbol_id").join(d, "doc_id")
+    placed = plan.hint("merge").join(s, "symbol_id").hint("merge").join(d, "doc_id").hint("merge")
 
     inline = placed.filter("action = 'update_inline'")
     sources = _edited(code_files, inline.filter("src IS NOT NULL").withColumn("path", F.col("src")), edit_source, "name", "line", "raw_signature")
 
     wanted = placed.filter("action = 'replace_signature'")
-    current = wanted.select("symbol_id", "name", "line", "src").distinct().join(code_files.select(F.col("path").alias("src"), "content"), "src")
+    current = wanted.select("symbol_id", "name", "line", "src").distinct().hint("merge").join(code_files.select(F.col("path").alias("src"), "content"), "src")
     current = current.select("symbol_id", signatures.signature_udf()("content", "name", "line", "src").alias("new"))
     former = reports.old_sig_candidates(state).groupBy("symbol_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "old_sig"))), lambda x: x["old_sig"]).alias("former"))
-    known = wanted.join(current, "symbol_id", "left").join(former, "symbol_id", "left")
+    known = wanted.join(current.hint("merge"), "symbol_id", "left").join(former.hint("merge"), "symbol_id", "left")
     old = F.concat(F.coalesce("former", F.array().cast("array<string>")), F.array("raw_signature"))
     known = known.select("symbol_id", "doc_id", "anchor", "new", F.when(F.col("new").isNotNull(), old).alias("old"), F.col("doc_file").alias("path"))
     documents = _edited(doc_files, known, lambda _, content, edits: edit_document(content, edits), "anchor", "new", "old")
 
     outcomes = documents.select(F.inline("e.outcomes")).unionByName(sources.select(F.inline("e.outcomes")))
     head = doc_files.select(F.col("path").alias("doc_file"), F.substring("content", 1, 1000).alias("head"), "modified")
-    met = placed.join(outcomes, ["symbol_id", "doc_id"], "left").join(head, "doc_file", "left")
+    met = placed.join(outcomes.hint("merge"), ["symbol_id", "doc_id"], "left").join(head.hint("merge"), "doc_file", "left")
     script = generator(F.col("doc_file"), F.array(*map(F.lit, scripts)).cast("array<string>"), F.coalesce("head", F.lit("")))
     action, found = F.col("action"), F.coalesce("outcome", F.lit("no file"))
     outcome = (
@@ -157,7 +158,7 @@ def sync(state: State, symbols: DataFrame, code_files: DataFrame, doc_files: Dat
     )
     texts = documents.unionByName(sources).filter("e.content <> before").select("path", "e.content")
     folded = results.groupBy("doc_id").agg(F.max(F.when(stale_result(), 1)).alias("_stale"), F.max(F.when(F.col("outcome").isin("updated", "replaced", "not found") & (F.col("status") == "in_sync"), 1)).alias("_synced"), F.max_by("hash", F.struct(F.col("status") == "in_sync", "symbol_id")).alias("_hash"))
-    joined = state.doc_sections.join(folded, F.col("id") == F.col("doc_id"), "left")
+    joined = state.doc_sections.join(folded.hint("merge"), F.col("id") == F.col("doc_id"), "left")
     moved = F.col("_stale").isNotNull() | F.col("_synced").isNotNull()
     values = {
         "status": F.when(F.col("_stale").isNotNull(), "stale").when(F.col("_synced").isNotNull(), "in_sync").otherwise(F.col("status")),
